@@ -19,6 +19,7 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
+from operator import itemgetter
 
 import pyarrow as pa
 import regex
@@ -36,12 +37,15 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 class Transducer:
     """Bytes of one pre-split piece in, token ids out."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 400_000, max_pairs: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 300_000, max_pairs: int = 400_000):
         self.ranks = ranks
         self.token_bytes = {i: t for t, i in ranks.items()}
-        self.prefixes = {t[:n] for t in ranks for n in range(1, len(t))}
+        # tail -> odd if a longer token begins with it, and twice (rank + 1) if it is a token
+        self.tails = {t: 2 * (rank + 1) for t, rank in ranks.items()}
+        for prefix in {t[:n] for t in ranks for n in range(1, len(t))}:
+            self.tails[prefix] = self.tails.get(prefix, 0) | 1
         self.max_states, self.max_pairs = max_states, max_pairs
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -67,14 +71,13 @@ class Transducer:
 
     def adjacent(self, a: int, b: int) -> bool:
         """May token b follow token a? -1 is the start, which any token that encodes to itself may follow."""
-        key = (a, b)
+        key = (a + 1) << 32 | b
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= self.max_pairs:
                 self.pairs.clear()
             right = self.token_bytes[b]
-            known = self.merged(right) == [b] if a < 0 else self.merged(self.token_bytes[a] + right) == [a, b]
-            self.pairs[key] = known
+            known = self.pairs[key] = self.merged(right) == [b] if a < 0 else self.merged(self.token_bytes[a] + right) == [a, b]
         return known
 
     def _state(self, root: int, pending: bytes, tree: dict[int, tuple[int, int]], live: tuple[int, ...]) -> int:
@@ -99,17 +102,21 @@ class Transducer:
 
     def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         _, pending, tree, live = self.trees[state]
-        data, ranks, prefixes = pending + bytes((byte,)), self.ranks, self.prefixes
-        end = len(data)
-        tree, still = dict(tree), []
+        data, find, token, before, still = pending + bytes((byte,)), self.tails.get, -1, 0, []
         for start in live:
-            tail = data[start:]
-            if end not in tree:
-                token = ranks.get(tail)
-                if token is not None and self.adjacent(tree[start][0], token):
-                    tree[end] = (token, start)
-            if tail in prefixes:
-                still.append(start)
+            code = find(data[start:])
+            if code is not None:
+                if code & 1:
+                    still.append(start)
+                if token < 0 and code > 1 and self.adjacent(tree[start][0], (code >> 1) - 1):
+                    token, before = (code >> 1) - 1, start
+        if not still:  # all is final
+            emitted = (*self._path(tree, before), token) if before else (token,)
+            arc = self.arcs[state][byte] = (self._state(token, b"", {0: (token, -1)}, (0,)), emitted)
+            return arc
+        end = len(data)
+        tree = tree.copy()
+        tree[end] = (token, before)
         still.append(end)
         shared = still[0]  # the last position on the way to every live one
         for p in still[1:]:
@@ -201,6 +208,11 @@ class Utf8Stream:
 DOUBLE_SPACE = re.compile(r"[\s\x1c-\x1f\x85] [\s\x1c-\x1f\x85]").search
 
 
+def picked(keys: list, table) -> tuple:
+    """The table's entry of each key; itemgetter does it in one call."""
+    return itemgetter(*keys)(table) if len(keys) > 1 else tuple(table[k] for k in keys)
+
+
 class Codec:
     """Texts to ids and back: the pattern's matches go through the transducer one by one.
 
@@ -212,7 +224,8 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 250_000):
         self.transducer = Transducer(ranks)
         self.find = regex.compile(pattern).findall
-        self.bytes_of = self.transducer.token_bytes
+        self.bytes_of = [self.transducer.token_bytes.get(i, b"") for i in range(max(ranks.values(), default=-1) + 1)]
+        self.decimals = [str(i) for i in range(len(self.bytes_of))]
         encode, matches = self.transducer.encode, self.matches
 
         class Pieces(dict):
@@ -240,12 +253,12 @@ class Codec:
         if DOUBLE_SPACE(text):
             return self.matches(text)
         first, *rest = text.split(" ")
-        return self.matches(first) + list(chain.from_iterable(map(self.memo.__getitem__, rest)))
+        return self.matches(first) + list(chain.from_iterable(picked(rest, self.memo)))
 
     def decode_stream(self, ids: Iterable[int], chunk: int = 8192) -> Iterator[str]:
         ids, stream = list(ids), Utf8Stream()
         for i in range(0, len(ids), chunk):
-            yield stream.feed(b"".join(map(self.bytes_of.__getitem__, ids[i : i + chunk])))
+            yield stream.feed(b"".join(picked(ids[i : i + chunk], self.bytes_of)))
         yield stream.finish()
 
 
@@ -276,13 +289,12 @@ def encode_decode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks.value, pattern)
-        decimals = {i: str(i) for i in c.bytes_of}
         for batch in quietly(batches):
             n, ids_sha, text_sha = [], [], []
             for text in batch.column(1).to_pylist():
                 ids = c.encode(text)
                 n.append(len(ids))
-                ids_sha.append(hashlib.sha256(" ".join(map(decimals.__getitem__, ids)).encode()).hexdigest())
+                ids_sha.append(hashlib.sha256(" ".join(picked(ids, c.decimals)).encode()).hexdigest())
                 sha = hashlib.sha256()
                 for part in c.decode_stream(ids):
                     sha.update(part.encode("utf-8"))
