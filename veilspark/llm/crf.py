@@ -111,8 +111,8 @@ def train(sequences: list[tuple[np.ndarray, int]], rounds: int = 150, rate: floa
     gold = np.zeros((len(x), 2))
     gold[np.arange(len(x)), np.repeat(labels, lengths)] = 1
     active = [int((lengths > t).sum()) for t in range(int(lengths[0]))]
-    # both kinds count alike
-    weight = np.repeat(np.where(labels == 1, 0.5 / max(1, lengths[labels == 1].sum()), 0.5 / max(1, lengths[labels == 0].sum())), lengths)
+    # whatever their numbers, content lines weigh four times as much as boilerplate: losing good text costs more
+    weight = np.repeat(np.where(labels == 1, 0.2 / max(1, lengths[labels == 1].sum()), 0.8 / max(1, lengths[labels == 0].sum())), lengths)
     w, s = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
     velocity_w, velocity_s = np.zeros_like(w), np.zeros_like(s)
     for _ in range(rounds):
