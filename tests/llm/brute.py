@@ -63,3 +63,57 @@ def decontamination(rows, items, window=13):
         listed = ",".join(sorted(found))
         out[doc] = (len(words), len(hit), len(found), hashlib.sha256(listed.encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(words))
     return out
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def line_dedup(rows, least_words=8):
+    """doc_id -> text without lines that equal an earlier one or lie within one word of an earlier one; rows have distinct ids."""
+    first = {}
+    for doc, text in sorted(rows):
+        for pos, line in enumerate((text or "").split("\n")):
+            if w := tuple(words(line)):
+                first.setdefault(w, (doc, pos))
+
+    def close(a, b):
+        if abs(len(a) - len(b)) > 1:
+            return False
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) <= 1
+        short, long = sorted((a, b), key=len)
+        return any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+    long_lines = [w for w in first if len(w) >= least_words]
+    gone = {a for a in long_lines if any(first[b] < first[a] and close(a, b) for b in long_lines if abs(len(a) - len(b)) <= 1)}
+    return {doc: "\n".join(line for pos, line in enumerate((text or "").split("\n")) if not (w := tuple(words(line))) or (w not in gone and first[w] == (doc, pos))) for doc, text in rows}
+
+
+def quality_measures(text):
+    w = words(text)
+    hit = set()
+    windows = {}
+    for i in range(len(w) - 2):
+        windows.setdefault(tuple(w[i : i + 3]), []).append(i)
+    for at in windows.values():
+        if len(at) > 1:
+            hit |= {i + k for i in at for k in range(3)}
+    lines = [line for line in (text or "").split("\n") if words(line)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(hit)
+
+
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def url_parts(url):
+    if not url or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest)[0]
+    return host.translate(ASCII_LOWER), re.match(r"[^?#]*", rest[len(host) :])[0]
+
+
+def url_rule(host, path):
+    fits = [(h + p, v) for h, p, v in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fits, key=lambda r: len(r[0]), default=(None, None))
