@@ -16,11 +16,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import marshal
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -34,27 +37,92 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines()) if token}
 
 
+class Arcs:
+    """key -> value, both whole numbers, by open addressing in arrays, so that many keys are looked up at once."""
+
+    def __init__(self, bits: int = 14):
+        self.bits, self.used = bits, 0
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.values = np.zeros(1 << bits, np.int64)
+
+    def _slot(self, key: int) -> int:
+        slot = (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 64 - self.bits
+        while self.keys[slot] != key and self.keys[slot] >= 0:
+            slot = slot + 1 & (1 << self.bits) - 1
+        return slot
+
+    def put(self, key: int, value: int) -> None:
+        if 2 * self.used >= 1 << self.bits:
+            old = self.keys >= 0
+            keys, values = self.keys[old].tolist(), self.values[old].tolist()
+            self.__init__(self.bits + 2)
+            for k, v in zip(keys, values):
+                self.put(k, v)
+        slot = self._slot(key)
+        self.used += int(self.keys[slot] < 0)
+        self.keys[slot], self.values[slot] = key, value
+
+    def one(self, key: int) -> int:
+        slot = self._slot(key)
+        return int(self.values[slot]) if self.keys[slot] == key else -1
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values, -1 where there is none."""
+        slots = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+        found = self.keys[slots]
+        on = np.flatnonzero((found != keys) & (found >= 0))
+        while len(on):
+            slots[on] = (slots[on] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[slots[on]]
+            on = on[(there != keys[on]) & (there >= 0)]
+        return np.where(self.keys[slots] == keys, self.values[slots], -1)
+
+
 class Transducer:
     """Bytes of one pre-split piece in, token ids out."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 300_000, max_pairs: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 400_000, max_pairs: int = 400_000):
         self.ranks = ranks
         self.token_bytes = {i: t for t, i in ranks.items()}
         # tail -> odd if a longer token begins with it, and twice (rank + 1) if it is a token
         self.tails = {t: 2 * (rank + 1) for t, rank in ranks.items()}
         for prefix in {t[:n] for t in ranks for n in range(1, len(t))}:
             self.tails[prefix] = self.tails.get(prefix, 0) | 1
+        self.same = list(range(max(ranks.values(), default=-1) + 1))
         self.max_states, self.max_pairs = max_states, max_pairs
         self.pairs: dict[int, bool] = {}
+        self.suffixes: dict[bytes, tuple[tuple, tuple]] = {}
         self._reset()
 
     def _reset(self) -> None:
         self.index: dict[tuple, int] = {}
-        self.arcs: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self.finals: list[tuple[int, ...]] = []
         self.trees: list[tuple] = []
+        self.arcs = Arcs()
+        self.final = array("q")  # state -> output at the end
+        self.outputs: dict[tuple[int, ...], int] = {(): 0}
+        self.output_tokens = array("q")
+        self.output_at, self.output_size = array("q", [0]), array("q", [0])  # output -> where its tokens begin, and how many
         self.start = self._state(-1, b"", {0: (-1, -1)}, (0,))
 
+    def _output(self, tokens: tuple[int, ...]) -> int:
+        known = self.outputs.get(tokens)
+        if known is None:
+            known = self.outputs[tokens] = len(self.output_at)
+            self.output_at.append(len(self.output_tokens))
+            self.output_size.append(len(tokens))
+            self.output_tokens.extend(tokens)
+        return known
+
+    def _suffixes(self, tail: bytes) -> tuple[tuple, tuple]:
+        """Of the suffixes of ``tail``: (length, rank) of the tokens, and the lengths that begin a longer token."""
+        known = self.suffixes.get(tail)
+        if known is None:
+            if len(self.suffixes) >= self.max_pairs:
+                self.suffixes.clear()
+            codes = [(len(tail) - i, code) for i in range(len(tail)) if (code := self.tails.get(tail[i:])) is not None]
+            known = self.suffixes[tail] = tuple((n, (code >> 1) - 1) for n, code in codes if code > 1), tuple(n for n, code in codes if code & 1)
+        return known
+
     def merged(self, data: bytes) -> list[int]:
         """Encoding by repeated merging of the lowest-ranked neighbours; used on joined pairs of tokens only."""
         parts = [data[i : i + 1] for i in range(len(data))]
@@ -86,10 +154,9 @@ class Transducer:
         key = (root, pending)
         known = self.index.get(key)
         if known is None:
-            known = self.index[key] = len(self.arcs)
-            self.arcs.append({})
-            self.trees.append((root, pending, tree, live))
-            self.finals.append(self._path(tree, len(pending)))
+            known = self.index[key] = len(self.trees)
+            self.trees.append((root, pending, marshal.dumps((tree, live))))
+            self.final.append(self._output(self._path(tree, len(pending))))
         return known
 
     @staticmethod
@@ -100,23 +167,23 @@ class Transducer:
             out.append(token)
         return tuple(out[::-1])
 
-    def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        _, pending, tree, live = self.trees[state]
-        data, find, token, before, still = pending + bytes((byte,)), self.tails.get, -1, 0, []
-        for start in live:
-            code = find(data[start:])
-            if code is not None:
-                if code & 1:
-                    still.append(start)
-                if token < 0 and code > 1 and self.adjacent(tree[start][0], (code >> 1) - 1):
-                    token, before = (code >> 1) - 1, start
-        if not still:  # all is final
+    def _arc(self, state: int, byte: int) -> None:
+        """Makes the arc of a state and a byte."""
+        _, pending, packed = self.trees[state]
+        tree, live = marshal.loads(packed)
+        data = pending + bytes((byte,))
+        end, token, before = len(data), -1, 0
+        tokens, lengths = self._suffixes(data[live[0] :])
+        for n, rank in tokens:
+            if self.adjacent(tree[end - n][0], rank):
+                token, before = rank, end - n
+                break
+        if not lengths:  # all is final
             emitted = (*self._path(tree, before), token) if before else (token,)
-            arc = self.arcs[state][byte] = (self._state(token, b"", {0: (token, -1)}, (0,)), emitted)
-            return arc
-        end = len(data)
-        tree = tree.copy()
+            self._set(state, byte, self._state(token, b"", {0: (token, -1)}, (0,)), emitted)
+            return
         tree[end] = (token, before)
+        still = [end - n for n in lengths]
         still.append(end)
         shared = still[0]  # the last position on the way to every live one
         for p in still[1:]:
@@ -132,32 +199,85 @@ class Transducer:
                 token, before = tree[p]
                 needed[p - shared] = (token, before - shared)
                 p = before
-        arc = (self._state(tree[shared][0], data[shared:], needed, tuple(p - shared for p in still)), emitted)
-        self.arcs[state][byte] = arc
-        return arc
+        self._set(state, byte, self._state(tree[shared][0], data[shared:], needed, tuple(p - shared for p in still)), emitted)
+
+    def _set(self, state: int, byte: int, target: int, emitted: tuple[int, ...]) -> None:
+        self.arcs.put(state << 8 | byte, target << 32 | self._output(emitted))
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return (whole,)
+        return self.encode_all([piece])[0]
+
+    def encode_all(self, pieces: list[bytes], step_bound: int = 128) -> list[tuple[int, ...]]:
+        """Tokens of each piece. All pieces move through the states together, a byte at a time; those of more
+        than ``step_bound`` bytes go one by one."""
+        if len(self.trees) >= self.max_states:
+            self._reset()
+        out = [(whole,) if (whole := self.ranks.get(p)) is not None else None for p in pieces]
+        todo = sorted((i for i, x in enumerate(out) if x is None), key=lambda i: -len(pieces[i]))
+        while todo and len(pieces[todo[0]]) > step_bound:
+            out[todo[0]] = self._walk(pieces[todo[0]])
+            del todo[0]
+        if not todo:
+            return out
+        size = np.fromiter((len(pieces[i]) for i in todo), np.int64, len(todo))
+        data = np.frombuffer(b"".join(pieces[i] for i in todo), np.uint8)
+        begin = np.cumsum(size) - size
+        state = np.full(len(todo), self.start, np.int64)
+        who, what = [], []
+        for t in range(int(size[0])):
+            n = int(np.searchsorted(-size, -t, "left"))  # pieces of more than t bytes come first
+            key = state[:n] << 8 | data[begin[:n] + t]
+            arc = self.arcs.get(key)
+            lacking = arc < 0
+            if lacking.any():
+                for pair in np.unique(key[lacking]).tolist():
+                    self._arc(pair >> 8, pair & 255)
+                arc[lacking] = self.arcs.get(key[lacking])
+            emitted = arc & 0xFFFFFFFF
+            some = np.flatnonzero(emitted)
+            who.append(some)
+            what.append(emitted[some])
+            state[:n] = arc >> 32
+        who.append(np.arange(len(todo)))
+        what.append(np.frombuffer(self.final, np.int64)[state])
+        piece, output = np.concatenate(who), np.concatenate(what)
+        order = np.argsort(piece, kind="stable")
+        output = output[order]
+        at, count = np.frombuffer(self.output_at, np.int64)[output], np.frombuffer(self.output_size, np.int64)[output]
+        place = np.repeat(at - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        tokens = np.frombuffer(self.output_tokens, np.int64)[place] if len(place) else place
+        ids = [self.same[i] for i in tokens.tolist()]  # one object for each id
+        ends = np.cumsum(np.bincount(piece[order], weights=count, minlength=len(todo)).astype(np.int64)).tolist()
+        last = 0
+        for i, end in zip(todo, ends):
+            out[i] = tuple(ids[last:end])
+            last = end
+        return out
+
+    def _walk(self, piece: bytes) -> tuple[int, ...]:
         state, out = self.start, []
         for byte in piece:
-            arc = self.arcs[state].get(byte)
-            if arc is None:
-                if len(self.arcs) >= self.max_states:
+            arc = self.arcs.one(state << 8 | byte)
+            if arc < 0:
+                if len(self.trees) >= self.max_states:
                     state = self._forget(state)
-                arc = self._arc(state, byte)
-            state, emitted = arc
+                self._arc(state, byte)
+                arc = self.arcs.one(state << 8 | byte)
+            emitted = arc & 0xFFFFFFFF
             if emitted:
-                out += emitted
-        out += self.finals[state]
-        return tuple(out)
+                out += self._tokens(emitted)
+            state = arc >> 32
+        return tuple(out + self._tokens(self.final[state]))
+
+    def _tokens(self, output: int) -> list[int]:
+        first = self.output_at[output]
+        return self.output_tokens[first : first + self.output_size[output]].tolist()
 
     def _forget(self, state: int) -> int:
         """Drops all states but the present one, under its new number."""
-        kept = self.trees[state]
+        root, pending, packed = self.trees[state]
         self._reset()
-        return self._state(*kept)
+        return self._state(root, pending, *marshal.loads(packed))
 
 
 #: UTF-8 as a state machine over byte classes: state -> {first byte of a range: (last byte, next state)}.
@@ -208,6 +328,10 @@ class Utf8Stream:
 DOUBLE_SPACE = re.compile(r"[\s\x1c-\x1f\x85] [\s\x1c-\x1f\x85]").search
 
 
+#: Letters of Latin alphabets, then at most one full stop or comma: the usual stretch, with evident matches.
+LETTERS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,]?)").fullmatch
+
+
 def picked(keys: list, table) -> tuple:
     """The table's entry of each key; itemgetter does it in one call."""
     return itemgetter(*keys)(table) if len(keys) > 1 else tuple(table[k] for k in keys)
@@ -226,34 +350,47 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.bytes_of = [self.transducer.token_bytes.get(i, b"") for i in range(max(ranks.values(), default=-1) + 1)]
         self.decimals = [str(i) for i in range(len(self.bytes_of))]
-        encode, matches = self.transducer.encode, self.matches
-
-        class Pieces(dict):
-            def __missing__(self, piece: str) -> tuple[int, ...]:
-                if len(self) >= memo:
-                    self.clear()
-                ids = self[piece] = encode(piece.encode("utf-8"))
-                return ids
-
-        class Stretches(dict):
-            def __missing__(self, stretch: str) -> tuple[int, ...]:
-                if len(self) >= memo:
-                    self.clear()
-                ids = self[stretch] = tuple(matches(" " + stretch))
-                return ids
-
-        self.pieces, self.memo = Pieces(), Stretches()
-
-    def matches(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.pieces.__getitem__, self.find(text))))
+        self.limit = memo
+        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
+
+    def _learn(self, matches: list[list[str]]) -> None:
+        """Encodes the pieces that are not remembered, all at once."""
+        new = set(chain.from_iterable(matches)).difference(self.pieces)
+        if len(self.pieces) + len(new) > self.limit:
+            self.pieces.clear()
+            new = set(chain.from_iterable(matches))
+        new = list(new)
+        self.pieces.update(zip(new, self.transducer.encode_all([p.encode("utf-8") for p in new])))
+
+    def _ids(self, matches: list[str]) -> list[int]:
+        return list(chain.from_iterable(picked(matches, self.pieces)))
+
+    def encode_all(self, texts: list[str | None]) -> list[list[int]]:
+        """Ids of each text."""
+        whole, cut = {}, {}
+        for n, text in enumerate(texts):
+            if text:
+                if DOUBLE_SPACE(text):
+                    whole[n] = self.find(text)
+                else:
+                    cut[n] = text.split(" ")
+                    whole[n] = self.find(cut[n].pop(0))
+        new = set(chain.from_iterable(cut.values())).difference(self.memo)
+        if len(self.memo) + len(new) > self.limit:
+            self.memo.clear()
+            new = set(chain.from_iterable(cut.values()))
+        matches = {x: self.find(" " + x) if (m := LETTERS(x)) is None else [" " + m[1], m[2]] if m[2] else [" " + x] for x in new}
+        self._learn([*whole.values(), *matches.values()])
+        pieces = self.pieces
+        self.memo.update((x, pieces[m[0]] if len(m) == 1 else tuple(self._ids(m))) for x, m in matches.items())
+        out = [self._ids(whole[n]) if n in whole else [] for n in range(len(texts))]
+        for n, stretches in cut.items():
+            out[n].extend(chain.from_iterable(picked(stretches, self.memo)))
+        return out
 
     def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        if DOUBLE_SPACE(text):
-            return self.matches(text)
-        first, *rest = text.split(" ")
-        return self.matches(first) + list(chain.from_iterable(picked(rest, self.memo)))
+        return self.encode_all([text])[0]
 
     def decode_stream(self, ids: Iterable[int], chunk: int = 8192) -> Iterator[str]:
         ids, stream = list(ids), Utf8Stream()
@@ -291,8 +428,7 @@ def encode_decode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "
         c = codec(ranks.value, pattern)
         for batch in quietly(batches):
             n, ids_sha, text_sha = [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = c.encode(text)
+            for ids in c.encode_all(batch.column(1).to_pylist()):
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(" ".join(picked(ids, c.decimals)).encode()).hexdigest())
                 sha = hashlib.sha256()
@@ -315,7 +451,7 @@ def encode_ids(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks.value, pattern)
         for batch in quietly(batches):
-            ids = pa.array([c.encode(t) for t in batch.column(at).to_pylist()], pa.list_(pa.int32()))
+            ids = pa.array(c.encode_all(batch.column(at).to_pylist()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, out_col])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))]))
