@@ -111,8 +111,8 @@ def _in_rounds(source: Source, plan: Plan, seeds: dict[str, DataFrame]) -> dict[
                 found.setdefault(b, []).append(followed(delta[a], ca, source.read(b), cb))
         delta = {}
         for table, parts in found.items():
-            new = reduce(DataFrame.unionByName, parts).distinct()
-            new = _write(new.exceptAll(have[table]) if table in have else new)
+            rows = reduce(DataFrame.unionByName, parts)
+            new = _write(rows.subtract(have[table]) if table in have else rows.distinct())  # either way each row once
             if not new.isEmpty():
                 delta[table] = new
         if not delta:
