@@ -56,6 +56,8 @@ def test_edge_rows(spark):
     df = spark.createDataFrame([(*r, 0, "z") for r in rows], "doc_id long, text string, n_tokens int, token_ids string")
     out = bpe.encode_decode(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     assert [tuple(r) for r in out.collect()] == [(i, *digest(t)) for i, t in rows]
+    small = bpe.encode_decode(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, memo=5, max_states=30)
+    assert small.collect() == out.collect()
     ids = bpe.encode_ids(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     back = bpe.decode_ids(ids, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     assert [r["decoded"] for r in back.collect()] == [t or "" for _, t in rows]

@@ -81,7 +81,7 @@ class Arcs:
 class Transducer:
     """Bytes of one pre-split piece in, token ids out."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 400_000, max_pairs: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 400_000, max_pairs: int = 300_000):
         self.ranks = ranks
         self.token_bytes = {i: t for t, i in ranks.items()}
         # tail -> odd if a longer token begins with it, and twice (rank + 1) if it is a token
@@ -92,11 +92,13 @@ class Transducer:
         self.max_states, self.max_pairs = max_states, max_pairs
         self.pairs: dict[int, bool] = {}
         self.suffixes: dict[bytes, tuple[tuple, tuple]] = {}
+        self.made_of: dict[int, tuple[int, int] | None] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[tuple, int] = {}
-        self.trees: list[tuple] = []
+        self.index: dict[bytes, int] = {}  # last final token and pending bytes -> state
+        self.keys: list[bytes] = []
+        self.trees: list[bytes] = []
         self.arcs = Arcs()
         self.final = array("q")  # state -> output at the end
         self.outputs: dict[tuple[int, ...], int] = {(): 0}
@@ -114,48 +116,65 @@ class Transducer:
         return known
 
     def _suffixes(self, tail: bytes) -> tuple[tuple, tuple]:
-        """Of the suffixes of ``tail``: (length, rank) of the tokens, and the lengths that begin a longer token."""
+        """Of the suffixes of ``tail``, a token or the beginning of one: (length, rank) of the tokens, and the lengths that begin a longer token."""
         known = self.suffixes.get(tail)
         if known is None:
-            if len(self.suffixes) >= self.max_pairs:
+            if len(self.suffixes) >= 60_000:
                 self.suffixes.clear()
             codes = [(len(tail) - i, code) for i in range(len(tail)) if (code := self.tails.get(tail[i:])) is not None]
             known = self.suffixes[tail] = tuple((n, (code >> 1) - 1) for n, code in codes if code > 1), tuple(n for n, code in codes if code & 1)
         return known
 
-    def merged(self, data: bytes) -> list[int]:
-        """Encoding by repeated merging of the lowest-ranked neighbours; used on joined pairs of tokens only."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = self.ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge made this one, by merging the lowest-ranked neighbours of its bytes; itself twice
+        for a byte; None if merging never leads to it."""
+        if token not in self.made_of:
+            data = self.token_bytes[token]
+            parts = [data[i : i + 1] for i in range(len(data))]
+            while len(parts) > 2:
+                ranked = [(rank, i) for i in range(len(parts) - 1) if (rank := self.ranks.get(parts[i] + parts[i + 1])) is not None]
+                if not ranked:
+                    break
+                at = min(ranked)[1]
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            self.made_of[token] = (token, token) if len(data) == 1 else tuple(self.ranks[p] for p in parts) if len(parts) == 2 else None
+        return self.made_of[token]
 
     def adjacent(self, a: int, b: int) -> bool:
-        """May token b follow token a? -1 is the start, which any token that encodes to itself may follow."""
+        """May token b follow token a? -1 is the start, which any token that merging leads to may follow."""
         key = (a + 1) << 32 | b
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= self.max_pairs:
                 self.pairs.clear()
-            right = self.token_bytes[b]
-            known = self.pairs[key] = self.merged(right) == [b] if a < 0 else self.merged(self.token_bytes[a] + right) == [a, b]
+            known = self.pairs[key] = self.halves(b) is not None and (a < 0 or self._stay_apart(a, b))
         return known
 
+    def _stay_apart(self, a: int, b: int) -> bool:
+        """Undoes, latest first, the merges that make a and b. The tokens that face each other meanwhile must not merge
+        before the merge that was undone last takes one of them away."""
+        left, right, before = a, b, len(self.token_bytes) + 1
+        while True:
+            rank = self.ranks.get(self.token_bytes[left] + self.token_bytes[right])
+            if rank is not None and rank < before:
+                return False
+            inner, outer = self.halves(left)[1], self.halves(right)[0]
+            if inner != left and (left > right or outer == right):
+                before, left = left, inner
+            elif outer != right:
+                before, right = right + 1, outer
+            else:
+                return True
+
     def _state(self, root: int, pending: bytes, tree: dict[int, tuple[int, int]], live: tuple[int, ...]) -> int:
         """live: the positions in ``pending`` from which a token can still be completed, its end among them;
         tree: for these, and those on the way to them, (last token, position before it)."""
-        key = (root, pending)
+        key = (root + 1).to_bytes(4, "big") + pending
         known = self.index.get(key)
         if known is None:
             known = self.index[key] = len(self.trees)
-            self.trees.append((root, pending, marshal.dumps((tree, live))))
+            self.keys.append(key)
+            self.trees.append(marshal.dumps((tree, live)))
             self.final.append(self._output(self._path(tree, len(pending))))
         return known
 
@@ -169,11 +188,13 @@ class Transducer:
 
     def _arc(self, state: int, byte: int) -> None:
         """Makes the arc of a state and a byte."""
-        _, pending, packed = self.trees[state]
-        tree, live = marshal.loads(packed)
-        data = pending + bytes((byte,))
+        tree, live = marshal.loads(self.trees[state])
+        data = self.keys[state][4:] + bytes((byte,))
         end, token, before = len(data), -1, 0
-        tokens, lengths = self._suffixes(data[live[0] :])
+        for start in live:  # the longest tail that begins or is a token tells about all shorter ones
+            if data[start:] in self.tails:
+                break
+        tokens, lengths = self._suffixes(data[start:])
         for n, rank in tokens:
             if self.adjacent(tree[end - n][0], rank):
                 token, before = rank, end - n
@@ -275,9 +296,9 @@ class Transducer:
 
     def _forget(self, state: int) -> int:
         """Drops all states but the present one, under its new number."""
-        root, pending, packed = self.trees[state]
+        key, packed = self.keys[state], self.trees[state]
         self._reset()
-        return self._state(root, pending, *marshal.loads(packed))
+        return self._state(int.from_bytes(key[:4], "big") - 1, key[4:], *marshal.loads(packed))
 
 
 #: UTF-8 as a state machine over byte classes: state -> {first byte of a range: (last byte, next state)}.
@@ -345,8 +366,8 @@ class Codec:
     between cuts repeat, and their ids are remembered (up to ``memo`` stretches, then forgotten).
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 250_000):
-        self.transducer = Transducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 300_000, max_states: int = 400_000):
+        self.transducer = Transducer(ranks, max_states)
         self.find = regex.compile(pattern).findall
         self.bytes_of = [self.transducer.token_bytes.get(i, b"") for i in range(max(ranks.values(), default=-1) + 1)]
         self.decimals = [str(i) for i in range(len(self.bytes_of))]
@@ -356,11 +377,10 @@ class Codec:
 
     def _learn(self, matches: list[list[str]]) -> None:
         """Encodes the pieces that are not remembered, all at once."""
-        new = set(chain.from_iterable(matches)).difference(self.pieces)
-        if len(self.pieces) + len(new) > self.limit:
-            self.pieces.clear()
-            new = set(chain.from_iterable(matches))
-        new = list(new)
+        used = set(chain.from_iterable(matches))
+        if len(self.pieces) + len(used) > self.limit:
+            self.pieces = {p: self.pieces[p] for p in used if p in self.pieces}
+        new = list(used.difference(self.pieces))
         self.pieces.update(zip(new, self.transducer.encode_all([p.encode("utf-8") for p in new])))
 
     def _ids(self, matches: list[str]) -> list[int]:
@@ -376,10 +396,10 @@ class Codec:
                 else:
                     cut[n] = text.split(" ")
                     whole[n] = self.find(cut[n].pop(0))
-        new = set(chain.from_iterable(cut.values())).difference(self.memo)
-        if len(self.memo) + len(new) > self.limit:
-            self.memo.clear()
-            new = set(chain.from_iterable(cut.values()))
+        used = set(chain.from_iterable(cut.values()))
+        new = used.difference(self.memo)
+        if len(self.memo) + len(new) > self.limit:  # what these texts use is what most texts use
+            self.memo = {x: self.memo[x] for x in used if x in self.memo}
         matches = {x: self.find(" " + x) if (m := LETTERS(x)) is None else [" " + m[1], m[2]] if m[2] else [" " + x] for x in new}
         self._learn([*whole.values(), *matches.values()])
         pieces = self.pieces
@@ -399,15 +419,15 @@ class Codec:
         yield stream.finish()
 
 
-_codecs: dict[tuple[int, str], Codec] = {}
+_codecs: dict[tuple, Codec] = {}
 
 
-def codec(rank_file: bytes, pattern: str) -> Codec:
-    """One codec for each Python worker and vocabulary."""
-    key = (hash(rank_file), pattern)
+def codec(rank_file: bytes, pattern: str, memo: int = 300_000, max_states: int = 400_000) -> Codec:
+    """One codec for each Python worker, vocabulary and size of tables."""
+    key = (hash(rank_file), pattern, memo, max_states)
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(read_ranks(rank_file), pattern)
+        _codecs[key] = Codec(read_ranks(rank_file), pattern, memo, max_states)
     return _codecs[key]
 
 
@@ -416,16 +436,17 @@ def _vocabulary(docs: DataFrame, rank_path: str):
         return docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file: a fixed size
 
 
-def encode_decode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", memo: int = 300_000, max_states: int = 400_000) -> DataFrame:
     """A row for each document: id, n_tokens, ids_sha256, decoded_sha256 (see the module for empty cases).
 
-    No shuffle; a worker holds one batch of texts, the codec's bounded tables and one document's ids.
+    No shuffle; a worker holds one batch of texts with its ids, and the codec's tables, which ``memo`` (remembered
+    stretches) and ``max_states`` bound: about 450 MB as they are, 300 MB at a fifth of that, for more CPU time.
     """
     small_batches(docs.sparkSession)
     ranks = _vocabulary(docs, rank_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(ranks.value, pattern)
+        c = codec(ranks.value, pattern, memo, max_states)
         for batch in quietly(batches):
             n, ids_sha, text_sha = [], [], []
             for ids in c.encode_all(batch.column(1).to_pylist()):
