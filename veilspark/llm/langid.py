@@ -5,7 +5,10 @@ characters; each is hashed to a row of an embedding table. The rows' mean goes t
 are trained together by stochastic gradient descent in numpy. Training rows are a sample of at most
 ``per_label`` texts for each label, lowest hash of the id first; a fifth of them is held back to calibrate: a
 temperature makes the scores honest, and a text is rejected if its score lies below that which all but one
-in ``1 / reject_share`` of the held-back texts reach.
+in ``1 / reject_share`` of the held-back texts reach. A softmax is sure of some texts in no learned language as
+well, so a text is also rejected if the share of its subwords in known buckets - those which hold all but
+``rare_share`` of the subwords learned from - lies below the bound found in the same way. Neither bound lies above
+what all but one in ``1 / reject_share`` of the whole sample reach, as few held-back texts tell little of the rare ones.
 
 Prediction is map-only over whole texts. Null texts and texts without a letter are ``und`` with score 0 and
 rejected. Ties in the sample are broken by the id; repeated rows count each time; null labels are not learned.
@@ -52,30 +55,34 @@ def subwords(text: str, buckets: int) -> np.ndarray:
 
 
 class Model:
-    """labels, and for each bucket the logits that its embedding adds: embeddings @ weights, since both are linear."""
+    """labels, and for each bucket the logits that its embedding adds: embeddings @ weights, since both are linear.
+    The last column of ``logits`` is 1 for known buckets, else 0."""
 
-    def __init__(self, labels: list[str], logits: np.ndarray, bias: np.ndarray, temperature: float, least_score: float):
-        self.labels, self.logits, self.bias, self.temperature, self.least_score = labels, logits, bias, temperature, least_score
+    def __init__(self, labels: list[str], logits: np.ndarray, bias: np.ndarray, temperature: float, least_score: float, least_known: float = 0.0):
+        self.labels, self.logits, self.bias, self.temperature = labels, logits, bias, temperature
+        self.least_score, self.least_known = least_score, least_known
 
-    def scores(self, text: str | None) -> np.ndarray | None:
+    def scores(self, text: str | None) -> tuple[np.ndarray, float] | None:
+        """(score of each label, share of subwords in known buckets)"""
         if not self.labels or not text or not LETTER.search(text):
             return None
         at = subwords(text, len(self.logits))
-        z = (self.logits.take(at, 0).mean(0) if len(at) else 0.0) + self.bias
-        z = z / self.temperature
+        mean = self.logits.take(at, 0).mean(0) if len(at) else np.zeros(len(self.labels) + 1, np.float32)
+        z = (mean[:-1] + self.bias) / self.temperature
         e = np.exp(z - z.max())
-        return e / e.sum()
+        return e / e.sum(), float(mean[-1])
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(label, score, rejected)"""
-        p = self.scores(text)
-        if p is None:
+        found = self.scores(text)
+        if found is None:
             return UNKNOWN, 0.0, True
+        p, known = found
         best = int(p.argmax())
-        return self.labels[best], float(min(1.0, p[best])), bool(p[best] < self.least_score)
+        return self.labels[best], float(min(1.0, p[best])), bool(p[best] < self.least_score or known < self.least_known)
 
 
-def train(features: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, labels: list[str], buckets: int, dim: int = 16, epochs: int = 6, rate: float = 0.5, reject_share: float = 0.001, seed: int = 7) -> Model:
+def train(features: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, labels: list[str], buckets: int, dim: int = 16, epochs: int = 6, rate: float = 0.5, reject_share: float = 0.001, rare_share: float = 0.001, seed: int = 7) -> Model:
     """features: for each text its distinct buckets and their shares of its subwords."""
     rng = np.random.default_rng(seed)
     held = np.arange(len(features)) % 5 == 4 if len(features) >= 50 else np.zeros(len(features), bool)
@@ -97,18 +104,29 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, la
             bias -= 0.1 * now * error
             table[at] -= (now * 20) * share[:, None] * back[None, :]
     logits = (table @ weights).astype(np.float32)
-    check = np.flatnonzero(held) if held.any() else fit
-    z = np.stack([features[i][1] @ logits[features[i][0]] + bias for i in check]).astype(np.float64)
-    wanted = targets[check]
-
-    def soft(t: float) -> np.ndarray:
+    mass = np.zeros(buckets)
+    for i in fit:
+        mass[features[i][0]] += features[i][1]
+    order = np.argsort(-mass, kind="stable")
+    known = np.zeros((buckets, 1), np.float32)
+    known[order[(np.cumsum(mass[order]) - mass[order] < (1 - rare_share) * mass.sum()) & (mass[order] > 0)]] = 1
+    logits = np.hstack([logits, known])
+    check = held if held.any() else ~held
+    every = np.stack([features[i][1] @ logits[features[i][0]] for i in range(len(features))]).astype(np.float64)
+    z, wanted = every[check, :-1] + bias, targets[check]
+
+    def soft(t: float, z: np.ndarray = z) -> np.ndarray:
         e = np.exp(z / t - (z / t).max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
     grid = np.geomspace(0.2, 20, 41)
     temperature = float(grid[np.argmin([-np.log(soft(t)[np.arange(len(wanted)), wanted] + 1e-12).mean() for t in grid])])
-    least = min(float(np.quantile(soft(temperature).max(1), reject_share)), 1 / len(labels) + 0.05)
-    return Model(labels, logits, bias, temperature, least)
+
+    def least(values: np.ndarray) -> float:
+        """A thousandth lower, as the sums of shares here and the means of prediction round differently."""
+        return 0.999 * min(float(np.quantile(v, reject_share, method="lower")) for v in (values[check], values))
+
+    return Model(labels, logits, bias, temperature, least(soft(temperature, every[:, :-1] + bias).max(1)), least(every[:, -1]))
 
 
 def fit(docs: DataFrame, learn: Column, buckets: int = 1 << 16, per_label: int = 1000, max_labels: int = 200, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:
