@@ -2,7 +2,7 @@
 
 import random
 
-from veilspark.llm import langid
+from veilspark.llm import crf, langid
 
 UNLEARNED = [
     "w szczebrzeszynie chrząszcz brzmi w trzcinie i szczebrzeszyn z tego słynie że jest bardzo ładny",
@@ -22,3 +22,11 @@ def test_unlearned_languages_and_gibberish_are_rejected(spark, sf_dir):
     assert [r["rejected"] for r in langid.predict(odd, model).collect()] == [True] * 7
     clean = [r["rejected"] for r in langid.predict(docs.where("text is not null"), model).collect()]
     assert sum(clean) <= 0.01 * len(clean)
+
+
+def test_loose_signs_count_alike_at_every_length():
+    pattern = ["#", "*", "&", "<>", "||", "|", "word", "a#"]
+    for n in (3992, 4000, 4008, 40000):
+        words = (pattern * (n // 8))[:n]
+        features, _ = crf.sequence(" ".join(words))
+        assert features.shape == (1, crf.N_FEATURES) and features[0, -1] == 6 / 8

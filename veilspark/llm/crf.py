@@ -15,6 +15,7 @@ documents of both kinds the field marks nothing.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,14 +43,15 @@ def line_features(line: bytes, words: list[bytes], repeated: bool) -> list[float
     """Shares of signs, capitals, digits, loud marks, repeated words; a repeated line; shortness; a constant."""
     n = sum(map(len, words))
     upper, lower = len(line.translate(None, NOT_UPPER)), len(line.translate(None, NOT_LOWER))
-    loose = sum(1 for w in words if not w.translate(None, SIGN_BYTES)) if len(words) < 4000 else words.count(b"|")
+    counts = Counter(words)
+    loose = sum(k for w, k in counts.items() if not w.translate(None, SIGN_BYTES))
     return [
         1.0,
         min(1.0, 4 * len(line.translate(None, NOT_SIGN)) / n),
         upper / (upper + lower) if upper + lower else 0.0,
         len(line.translate(None, NOT_DIGIT)) / n,
         min(1.0, 4 * len(line.translate(None, NOT_MARK)) / n),
-        1.0 - len(set(words)) / len(words) if len(words) > 2 else 0.0,
+        1.0 - len(counts) / len(words) if len(words) > 2 else 0.0,
         1.0 if repeated else 0.0,
         1.0 / len(words),
         loose / len(words),
