@@ -30,3 +30,25 @@ def test_loose_signs_count_alike_at_every_length():
         words = (pattern * (n // 8))[:n]
         features, _ = crf.sequence(" ".join(words))
         assert features.shape == (1, crf.N_FEATURES) and features[0, -1] == 6 / 8
+
+
+def test_field_learns_from_all_lines_of_a_document(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(crf, "train", lambda sequences: seen.extend((len(f), label) for f, label in sequences))
+    docs = spark.createDataFrame([(n, "\n".join(f"line {i} of it" for i in range(100 * n))) for n in range(1, 6)], "doc_id long, text string")
+    labels = spark.createDataFrame([(n, n % 2, 0) for n in range(1, 6)], "doc_id long, quality int, toxic int")
+    crf.fit(docs, labels)
+    assert sorted(seen) == [(100, 0), (200, 1), (300, 0), (400, 1), (500, 0)]
+
+
+def test_line_budget_does_not_depend_on_order():
+    rng = random.Random(3)
+    rows = [(rng.randrange(1000), str(n), n % 2, bytes(4 * crf.N_FEATURES * rng.randrange(0, 40))) for n in range(60)]
+    expected, held = [], {0: 0, 1: 0}
+    for row in sorted(rows):
+        if held[row[2]] < 200:
+            expected.append(row[1:])
+        held[row[2]] += len(row[3]) // (4 * crf.N_FEATURES)
+    for _ in range(5):
+        rng.shuffle(rows)
+        assert crf.within(200, iter(rows)) == sorted(expected)

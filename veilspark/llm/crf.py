@@ -4,7 +4,8 @@ A linear-chain conditional random field labels the lines of a text content (0) o
 decoding finds the best sequence, and a document is kept if content lines hold at least ``least_content`` of its
 word characters. Lines without a word are not labelled. The field is trained here by gradient ascent of the
 regularised likelihood on a sample of at most ``sample`` labelled documents (lowest hash of the id first): lines
-of good documents are content, lines of poor ones boilerplate. Before the field come two plain rules: too few
+of good documents are content, lines of poor ones boilerplate. A sampled document is learned from with all its lines;
+of each kind, documents are taken in that order until they hold ``line_budget`` lines. Before the field come two plain rules: too few
 words, or too many words in repeated three-word windows.
 
 Null and empty texts have no words and fail the first rule. Every row is judged on its own, so ties, repeated
@@ -15,8 +16,9 @@ documents of both kinds the field marks nothing.
 from __future__ import annotations
 
 import re
+from bisect import insort
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -140,26 +142,41 @@ def train(sequences: list[tuple[np.ndarray, int]], rounds: int = 150, rate: floa
     return Field(w, s)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, max_lines: int = 200) -> Field:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, line_budget: int = 100_000) -> Field:
     """A field from ``labels`` (doc_id, quality). At most ``sample`` documents of each kind come to the driver, as
-    features of at most ``max_lines`` lines."""
+    features of all their lines; of these ``within`` the budget stay."""
     small_batches(docs.sparkSession)
     known = labels.select("doc_id", F.col("quality").cast("int").alias("q")).where("doc_id is not null and quality in (0, 1)").distinct()
     counts = {r["q"]: r["count"] for r in known.groupBy("q").count().collect()}
     drawn = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30))
     share = F.when(F.col("q") == 0, F.lit(sample * 1.2 / max(1, counts.get(0, 1)))).otherwise(F.lit(sample * 1.2 / max(1, counts.get(1, 1))))
     chosen = known.where(drawn / float(1 << 30) < share).withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(drawn, "doc_id"))).where(F.col("n") <= sample).select("doc_id", "q")
-    rows = docs.select("doc_id", "text").join(joinable(chosen, 2 * sample, 24), "doc_id").select("doc_id", "q", "text")
+    rows = docs.select("doc_id", "text").join(joinable(chosen, 2 * sample, 24), "doc_id").select("doc_id", "q", "text", drawn.alias("drawn"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in quietly(batches):
-            data = [sequence(t or "")[0][:max_lines].astype(np.float32).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(data, pa.binary())], ["doc_id", "q", "lines"])
+            data = [sequence(t or "")[0].astype(np.float32).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(data, pa.binary()), batch.column(3)], ["doc_id", "q", "lines", "drawn"])
 
-    found = sorted((r["doc_id"], r["q"], bytes(r["lines"])) for r in rows.mapInArrow(run, "doc_id string, q int, lines binary").toLocalIterator())
+    found = within(line_budget, ((r["drawn"], r["doc_id"], r["q"], bytes(r["lines"])) for r in rows.mapInArrow(run, "doc_id string, q int, lines binary, drawn long").toLocalIterator()))
     return train([(np.frombuffer(b, np.float32).reshape(-1, N_FEATURES).astype(np.float64), 1 - q) for _, q, b in found if b])
 
 
+def within(budget: int, rows: Iterable[tuple[int, str, int, bytes]]) -> list[tuple[str, int, bytes]]:
+    """Of (place, id, kind, lines) those before which, by place, their kind has fewer than ``budget`` lines; by id. The
+    last is dropped as soon as the others fill the budget, so little more than that is held, whatever the rows' order."""
+    kept: dict[int, list] = {}
+    total: Counter[int] = Counter()
+    size = lambda lines: len(lines) // (4 * N_FEATURES)
+    for row in rows:
+        of_kind = kept.setdefault(row[2], [])
+        insort(of_kind, row)
+        total[row[2]] += size(row[3])
+        while total[row[2]] - size(of_kind[-1][3]) >= budget:
+            total[row[2]] -= size(of_kind.pop()[3])
+    return sorted(row[1:] for of_kind in kept.values() for row in of_kind)
+
+
 def repeated_words(words: list[bytes]) -> int:
     """Words inside three-word windows that occur twice or more in the text."""
     n = len(words)
