@@ -2,7 +2,7 @@
 
 import random
 
-from veilspark.llm import crf, langid
+from veilspark.llm import crf, langid, urls
 
 UNLEARNED = [
     "w szczebrzeszynie chrząszcz brzmi w trzcinie i szczebrzeszyn z tego słynie że jest bardzo ładny",
@@ -52,3 +52,12 @@ def test_line_budget_does_not_depend_on_order():
     for _ in range(5):
         rng.shuffle(rows)
         assert crf.within(200, iter(rows)) == sorted(expected)
+
+
+def test_rules_are_mined_from_deep_path_parts_query_values_and_fragments(spark):
+    rules = [("bad.net", "/", "block"), ("good.net", "/", "allow")]
+    ends = [("a/b/c/d/e/f/casino", "a/b/c/d/e/f/garden"), ("x?topic=casino", "x?topic=garden"), ("x#casino", "x#garden")]
+    for bad, good in ends:
+        pages = [(n, f"http://{'bad' if n % 2 else 'good'}.net/{bad if n % 2 else good}") for n in range(40)] + [(100, f"http://x.net/{bad}"), (101, f"http://x.net/{good}")]
+        out = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string"), rules).collect()}
+        assert (out[100], out[101]) == ("block", "allow")

@@ -55,16 +55,18 @@ def listed(rules: list[tuple[str, str, str]]) -> Column:
 
 
 def tokens(url: Column) -> Column:
-    """Distinct tokens: scheme, labels of the host, first parts of the path (digits as #), ending, query keys, fragment."""
+    """Distinct tokens: scheme, labels of the host, all parts of the path (digits as #), ending,
+    query keys and key=value pairs (digits as #), whether there is a fragment, and its text (digits as #)."""
     digits = lambda c: F.regexp_replace(c, r"[0-9]+", "#")
     tagged = lambda tag, items: F.transform(F.filter(items, lambda x: x != ""), lambda x: F.concat(F.lit(tag), x))
     query = F.regexp_extract(rest(url), r"^[^?#]*\?([^#]*)", 1)
+    fragment = F.regexp_extract(rest(url), r"#([\s\S]*)", 1)
     parts = F.array(
         F.concat(F.lit("s:"), F.lower(F.regexp_extract(url, r"^[A-Za-z]+", 0))),
         F.when(rest(url).contains("#"), F.lit("f:#")).otherwise(F.lit("f:")),
         F.concat(F.lit("e:"), F.regexp_extract(F.col("path"), r"\.([A-Za-z]{1,5})$", 1)),
     )
-    found = F.concat(parts, tagged("h:", F.split(digits(F.col("host")), r"\.")), tagged("p:", F.slice(F.split(digits(F.col("path")), "/"), 1, 6)), tagged("q:", F.transform(F.split(query, "&"), lambda x: F.substring_index(x, "=", 1))))
+    found = F.concat(parts, tagged("h:", F.split(digits(F.col("host")), r"\.")), tagged("p:", F.split(digits(F.col("path")), "/")), tagged("q:", F.transform(F.split(query, "&"), lambda x: F.substring_index(x, "=", 1))), tagged("v:", F.filter(F.split(digits(query), "&"), lambda x: x.contains("="))), tagged("t:", F.array(digits(fragment))))
     return F.when(F.instr(url, "://") > 0, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
 
 
