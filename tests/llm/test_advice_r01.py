@@ -2,7 +2,8 @@
 
 import random
 
-from veilspark.llm import crf, langid, urls
+from veilspark.llm import crf, langid, rollup, urls
+from veilspark.llm.common import shared_dir
 
 UNLEARNED = [
     "w szczebrzeszynie chrząszcz brzmi w trzcinie i szczebrzeszyn z tego słynie że jest bardzo ładny",
@@ -61,3 +62,9 @@ def test_rules_are_mined_from_deep_path_parts_query_values_and_fragments(spark):
         pages = [(n, f"http://{'bad' if n % 2 else 'good'}.net/{bad if n % 2 else good}") for n in range(40)] + [(100, f"http://x.net/{bad}"), (101, f"http://x.net/{good}")]
         out = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string"), rules).collect()}
         assert (out[100], out[101]) == ("block", "allow")
+
+
+def test_words_count_without_an_estimate(spark):
+    docs = spark.createDataFrame([("s", "en", "three whole words", None), ("s", "en", "two words", 9), ("s", "de", None, None)], "source string, lang string, text string, n_chars long")
+    totals = {tuple(r)[:3]: tuple(r)[3:] for r in rollup.maintain(docs, shared_dir(spark, "null-estimate")).collect()}
+    assert totals == {("s", "en", "words/1"): (2, 5), ("s", "en", "chars/1"): (2, 26)}

@@ -106,10 +106,10 @@ class Rollup:
 
 
 def maintain(docs: DataFrame, path: str) -> DataFrame:
-    """Totals of a document table through its life: inserted with estimated counts (n_chars / 4, rounded up), revised to
+    """Totals of a document table through its life: inserted with estimated counts (n_chars / 4, rounded up; 0 if null), revised to
     counted words, blank documents deleted, counted anew under a second version (characters), one batch sent twice."""
     rollup = Rollup(docs.sparkSession, path)
-    estimate, words = F.ceil(F.col("n_chars") / 4).cast("long"), word_count(F.col("text"))
+    estimate, words = F.coalesce(F.ceil(F.col("n_chars") / 4).cast("long"), F.lit(0)), word_count(F.col("text"))
     blank = docs.where(word_count(F.col("text")) == 0)
     rollup.commit("insert", inserts(docs, estimate, "words/1"))
     rollup.commit("revise", revisions(docs, estimate, words, "words/1"))
