@@ -68,6 +68,11 @@ def joinable(small: DataFrame, rows: int, row_bytes: int, limit: int = 64 << 20)
     return F.broadcast(small) if rows * row_bytes <= limit else small
 
 
+def shuffle_partitions(df: DataFrame) -> int:
+    """The session's number of shuffle partitions, for shuffles whose rows grow after them and must not be merged."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Arrow batches of few rows, as texts may be long. Lowers the session's setting, never raises it."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
