@@ -73,11 +73,15 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of few rows, as texts may be long. Lowers the session's setting, never raises it."""
+def small_batches(spark: SparkSession, rows: int = 500, size: str = "4m") -> None:
+    """Arrow batches of few rows and bytes, as texts may be long. Lowers the session's settings, never raises them; they
+    stay lowered, since they are read when a plan runs."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, "-1", "67108864", "67108864b", "64MB"):
+        spark.conf.set(key, size)
 
 
 def quietly(batches):
