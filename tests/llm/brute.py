@@ -117,3 +117,35 @@ def url_parts(url):
 def url_rule(host, path):
     fits = [(h + p, v) for h, p, v in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return max(fits, key=lambda r: len(r[0]), default=(None, None))
+
+
+def url_tokens(url):
+    if not url or "://" not in url:
+        return set()
+    host, path = url_parts(url)
+    rest = url.split("://", 1)[1]
+    number = lambda s: re.sub("[0-9]+", "#", s)
+    query = (re.match(r"[^?#]*\?([^#]*)", rest) or ["", ""])[1]
+    found = {"s:" + re.match("[A-Za-z]*", url)[0].lower(), "f:#" if "#" in rest else "f:", "e:" + (re.search(r"\.([A-Za-z0-9]+)$", path) or ["", ""])[1]}
+    found |= {"h:" + x for x in number(host).split(".") if x} | {"p:" + x for x in number(path).split("/") if x}
+    found |= {"q:" + x.split("=")[0] for x in query.split("&") if x.split("=")[0]} | {"v:" + x for x in number(query).split("&") if "=" in x}
+    return found | ({"t:" + number(rest.split("#", 1)[1])} if rest.partition("#")[2] else set())
+
+
+def mined_rules(labelled, support, confidence):
+    """(tokens, verdict, confidence, support) from (token set, verdict), by counting every subset of every set; surest first."""
+    from collections import Counter
+    from itertools import combinations
+
+    have, hit = Counter(), Counter()
+    for tokens, verdict in labelled:
+        for n in range(1, len(tokens) + 1):
+            for c in combinations(sorted(tokens), n):
+                have[c] += 1
+                hit[c, verdict] += 1
+    n, sure = len(labelled), {}
+    for (c, verdict), k in hit.items():
+        if k >= support * n and k >= confidence * have[c]:
+            sure[frozenset(c), verdict] = (k / have[c], k / n)
+    rules = [(t, v, c, s) for (t, v), (c, s) in sure.items() if not any(sure.get((frozenset(u), v), (-1,))[0] >= c for k in range(1, len(t)) for u in combinations(sorted(t), k))]
+    return sorted(rules, key=lambda r: (-r[2], -r[3], len(r[0]), sorted(r[0]), r[1]))

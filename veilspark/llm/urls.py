@@ -1,19 +1,20 @@
 """Operator 3: URL filters by association rules.
 
-A list of host-and-path rules judges what it covers, the longest rule first. Its verdicts label those URLs; over
-their token sets Spark's FP-growth mines which token combinations go with a verdict. Rules below the support or
+A list of host-and-path rules judges what it covers, the longest rule first. Its verdicts label those URLs, unless the
+table has a column of labels; over the labelled token sets Spark's FP-growth mines which token combinations go with a verdict. Rules below the support or
 confidence bound go, and so do rules that a part of their tokens already implies as surely. An inverted index
 from token to rules finds the rules whose tokens all occur in a URL; the surest one decides, and ``default``
 where none does.
 
 Null URLs and URLs without ``://`` have empty host and path and no tokens: the default. Rows are judged one by
-one, so ties, repeated rows and further columns have no effect; with no labelled URL nothing is mined.
+one, so ties, repeated rows and further columns have no effect; rows with a null label teach nothing, and with no
+labelled URL nothing is mined. Of rules that fire, the one with the higher confidence decides, then support, then fewer
+tokens, then the tokens' order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
@@ -64,7 +65,7 @@ def tokens(url: Column) -> Column:
     parts = F.array(
         F.concat(F.lit("s:"), F.lower(F.regexp_extract(url, r"^[A-Za-z]+", 0))),
         F.when(rest(url).contains("#"), F.lit("f:#")).otherwise(F.lit("f:")),
-        F.concat(F.lit("e:"), F.regexp_extract(F.col("path"), r"\.([A-Za-z]{1,5})$", 1)),
+        F.concat(F.lit("e:"), F.regexp_extract(F.col("path"), r"\.([A-Za-z0-9]+)$", 1)),
     )
     found = F.concat(parts, tagged("h:", F.split(digits(F.col("host")), r"\.")), tagged("p:", F.split(digits(F.col("path")), "/")), tagged("q:", F.transform(F.split(query, "&"), lambda x: F.substring_index(x, "=", 1))), tagged("v:", F.filter(F.split(digits(query), "&"), lambda x: x.contains("="))), tagged("t:", F.array(digits(fragment))))
     return F.when(F.instr(url, "://") > 0, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
@@ -86,13 +87,21 @@ def mine(labelled: DataFrame, support: float = 0.01, confidence: float = 0.8) ->
 
 
 def pruned(rules: list[tuple[frozenset, str, float, float]]) -> list[tuple[frozenset, str, float, float]]:
-    """Without rules that have a part with the same verdict and at least the same confidence; surest first."""
+    """Without rules that have a part with the same verdict and at least the same confidence; surest first.
+
+    The surest part of a set is found from its parts with one token less, once for each set, and all these are frequent.
+    """
     sure = {(tokens, verdict): c for tokens, verdict, c, _ in rules}
-    kept = []
-    for tokens, verdict, c, s in rules:
-        parts = (frozenset(p) for n in range(1, len(tokens)) for p in combinations(tokens, n))
-        if not any(sure.get((p, verdict), -1.0) >= c for p in parts):
-            kept.append((tokens, verdict, c, s))
+    best: dict[tuple[frozenset, str], float] = {}
+
+    def surest(tokens: frozenset, verdict: str) -> float:
+        """The highest confidence of a rule with some or all of these tokens."""
+        known = best.get((tokens, verdict))
+        if known is None:
+            known = best[tokens, verdict] = max([sure.get((tokens, verdict), -1.0), *(surest(tokens - {t}, verdict) for t in tokens if len(tokens) > 1)])
+        return known
+
+    kept = [r for r in rules if all(surest(r[0] - {t}, r[1]) < r[2] for t in r[0] if len(r[0]) > 1)]
     return sorted(kept, key=lambda r: (-r[2], -r[3], len(r[0]), sorted(r[0]), r[1]))
 
 
@@ -114,15 +123,17 @@ class Index:
         return min((n for n, count in met.items() if count == self.needs[n]), default=None)
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, support: float = 0.01, confidence: float = 0.8, default: str = "allow", shard: int = 20_000, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, support: float = 0.01, confidence: float = 0.8, default: str = "allow", shard: int = 20_000, id_col: str = "page_id", url_col: str = "url", label_col: str | None = None) -> DataFrame:
     """A row for each page: id, host, path, rule, verdict, mined (the mined rule that decided, or null).
 
     Mined rules are shipped ``shard`` at a time, surest first; a row that one shard has judged passes the others.
     """
-    url = F.col("url")
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).withColumn("host", host(url)).withColumn("path", path(url)).withColumn("hit", listed(rules)).withColumn("tokens", tokens(url))
-    rows = rows.select("id", "host", "path", F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("verdict"), F.lit(None).cast("string").alias("mined"), "tokens")
-    mined = mine(rows.where("verdict is not null").select("tokens", "verdict"), support, confidence)
+    label = F.lit(None).cast("string") if label_col is None else F.col(label_col).cast("string")
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), label.alias("label")).withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url"))).withColumn("hit", listed(rules)).withColumn("tokens", tokens(F.col("url")))
+    rows = rows.select("id", "host", "path", F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("verdict"), F.lit(None).cast("string").alias("mined"), "tokens", "label")
+    taught = F.col("verdict") if label_col is None else F.col("label")
+    mined = mine(rows.where(taught.isNotNull()).select("tokens", taught.alias("verdict")), support, confidence)
+    rows = rows.drop("label")
     schema = rows.schema
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
     for at in range(0, len(mined), shard):
