@@ -15,7 +15,23 @@ def test_url_query(spark, sf_dir):
         host, path = brute.url_parts(url)
         rule, verdict = brute.url_rule(host, path)
         assert (out[i]["host"], out[i]["path"], out[i]["rule"]) == (host, path, rule)
-        assert out[i]["verdict"] == verdict if rule else out[i]["verdict"] in ("allow", "block")
+        assert not rule or (out[i]["verdict"], out[i]["mined"]) == (verdict, None)
+    # the verdicts of the others by counting all subsets of the labelled pages' tokens
+    parts = {i: (brute.url_tokens(u), brute.url_rule(*brute.url_parts(u))) for i, u in pages.items()}
+    rules = brute.mined_rules([(t, v) for t, (rule, v) in parts.values() if rule], 0.01, 0.8)
+    for i, (tokens, (rule, _)) in parts.items():
+        if not rule:
+            fired = next(((v, " ".join(sorted(t))) for t, v, _, _ in rules if t <= tokens), ("allow", None))
+            assert (out[i]["verdict"], out[i]["mined"]) == fired
+
+
+def test_labels_of_the_table_teach(spark):
+    rows = [(n, f"http://{'a' if n % 3 else 'b'}.net/{'spam' if n % 2 else 'news'}/{n}", "block" if n % 2 else "allow" if n < 30 else None, "x") for n in range(40)]
+    rows += [(100, "http://c.net/spam/x", None, "x"), (101, "http://c.net/news/x", None, "x"), (102, None, "block", "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, label string, tokens string")
+    out = {r["page_id"]: r["verdict"] for r in urls.judge(df, [], label_col="label").collect()}
+    assert (out[100], out[101], out[102], out[38]) == ("block", "allow", "allow", "allow")
+    assert len(out) == 43
 
 
 URLS = [None, "", "no scheme", "http://", "http://org", "http://ORG/", "https://A.Example.ORG/es/x?y#z", "x://example.org/en/12", "x://badexample.org/es/", "x://e.com/fr", "x://e.com/fr/", "x://e.com/de/#f", "x://e.com?/de/", "x://u:p@h.com:80/de/", "://org/a", "a://b://org/"]
@@ -66,11 +82,21 @@ def test_escape_round_trip():
     rng = random.Random(1)
     t = chat.Template()
     for _ in range(500):
-        turns = [(rng.choice(["user", "assistant", "", "a<|b\\"]), "".join(rng.choice(["\\", "<", "|", "<|", "<|end|>", "\\|", "x", "\n"]) for _ in range(rng.randrange(9)))) for _ in range(4)]
+        turns = [(rng.choice(["user", "assistant", "", "a[INST]\\", "[/INST"]), "".join(rng.choice(["\\", "<", "[", "/", "<s>", "</s>", "[INST]", "[/INST]", "[ANSWER]", "INST]", "\\/s>", "x", "\n"]) for _ in range(rng.randrange(9)))) for _ in range(4)]
         text = "".join(p for role, body in turns for p, _ in t.segments(role, body))
         assert [(r, b) for r, b, _ in t.read(text)] == turns
-    with pytest.raises(ValueError):
-        chat.Template(end="</s>")
+        assert not any(c in t.escape(body) for _, body in turns for c in (*t.marks(), *t.guards))
+    for marks in ({"end": "[INST]"}, {"end": "<[x"}, {"end": "</s\\>"}):  # twice the same; a mark's beginning within; a backslash
+        with pytest.raises(ValueError):
+            chat.Template(**marks)
+    other = chat.Template("<|start|>", "<|text|>", "<|answer|>", "<|end|>")
+    assert list(other.read("".join(p for p, _ in other.segments("assistant", "<|end|> \\")))) == [("assistant", "<|end|> \\", True)]
+
+
+def test_registered_conversation_meets_the_marks(spark, sf_dir):
+    row = queries.op8_chat_format(spark, sf_dir).where("conv_id = -7").first()
+    assert tuple(row)[1:5] == expected_chat([("user", queries.TRICKY), ("assistant", queries.TRICKY)]) and row["valid"]
+    assert queries.TRICKY not in chat.Template().escape(queries.TRICKY)
 
 
 def expected_chat(turns):
@@ -81,7 +107,7 @@ def expected_chat(turns):
 
 def test_chat_long_conversation_and_edges(spark):
     rng = random.Random(6)
-    rows = [(1, n, "user" if n % 2 == 0 else "assistant", f"t{n} <|end|> \\") for n in range(300)]
+    rows = [(1, n, "user" if n % 2 == 0 else "assistant", f"t{n} </s> \\") for n in range(300)]
     rows += [(2, 0, "assistant", "early"), (2, 1, None, None), (None, 3, "user", "q"), (None, 4, "assistant", "a"), (3, None, "user", ""), (4, 0, "user", "x"), (4, 0, "user", "x"), (5, 0, "system", "s"), (5, 1, "user", "x" * 200000), (5, 2, "assistant", "é🙂")]
     order = sorted(rows, key=lambda r: (r[1] if r[1] is not None else -1, r[2] or "", r[3] or ""))
     rng.shuffle(rows)
@@ -129,3 +155,30 @@ def test_word_count(spark):
     texts = [None, "", " ", "a", " a  b\n\tc\r", "x\x0by\x0cz", "é\u2028ü", "w " * 30000]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(rollup.word_count(df["t"])).collect()] == [len(brute.words(t)) for t in texts]
+
+
+def test_two_writers_of_one_batch(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("a", "en", 5)], "source string, lang string, n long")
+    path = shared_dir(spark, "rollup-writers")
+    one, two = rollup.Rollup(spark, path), rollup.Rollup(spark, path)
+    two.committed = lambda batch: False  # both have looked before either has written
+    assert one.commit("b", rollup.inserts(rows, F.col("n"), "v"))
+    assert not two.commit("b", rollup.inserts(rows, F.col("n"), "v"))
+    one.fs.mkdirs(one._path(f"{path}/_aside-left-behind"))
+    assert totals(one) == {("a", "en", "v"): (1, 5)} == totals(two)
+
+
+def test_rollup_of_a_tokenizer(spark, sf_dir):
+    import public_tokenizers as P
+    from pyspark.sql import functions as F
+
+    from veilspark.llm import bpe
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    counts = bpe.token_counts(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    r = rollup.Rollup(spark, shared_dir(spark, "rollup-bpe"))
+    r.commit("all", rollup.inserts(counts, F.col("n_tokens"), "byte_bpe_50k/1"))
+    encoded = {x["doc_id"]: x["n_tokens"] for x in queries.op2_byte_bpe(spark, sf_dir).collect()}
+    assert sum(t for _, t in totals(r).values()) == sum(encoded.values()) and sum(n for n, _ in totals(r).values()) == len(encoded)

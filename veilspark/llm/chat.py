@@ -1,9 +1,9 @@
 """Operator 8: chat formatting by a finite-state machine over roles and a declarative template.
 
-A turn becomes segments with a loss flag each: start mark, role, text mark, text, end mark. All control strings
-begin with ``<|``; in roles and texts a backslash is doubled and ``<|`` becomes ``<\\|``, so no control string can
-come from a text, and a single pass from left to right undoes it. Turn order is checked by the template's
-machine; breaches are reported (``valid``), not dropped.
+A turn becomes segments with a loss flag each: start mark, role, text mark, text, end mark. In roles and texts a
+backslash is doubled, and each control string - the template's marks and those it ``guards`` for other templates - gets a
+backslash after its first character, so no control string can come from a text, and a single pass from left to right
+undoes it. Turn order is checked by the template's machine; breaches are reported (``valid``), not dropped.
 
 Turns are ordered by turn, then role, then text; null roles and texts count as empty, null turns come first, and
 rows with a null conv_id are one conversation. Repeated rows are turns each. An empty table gives no rows;
@@ -20,6 +20,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,19 +35,37 @@ _UNDO = re.compile(r"\\(.)", re.S)
 class Template:
     """Marks, the roles whose texts carry loss, and the machine: state -> role -> state, with accepting states."""
 
-    start: str = "<|start|>"
-    text: str = "<|text|>"
-    answer: str = "<|answer|>"
-    end: str = "<|end|>"
+    start: str = "[INST]"
+    text: str = "[/INST]"
+    answer: str = "[ANSWER]"
+    end: str = "</s>"
+    guards: tuple = ("<s>",)
     loss_roles: frozenset = frozenset({"assistant"})
     order: dict = field(default_factory=lambda: {"begin": {"system": "system", "user": "user"}, "system": {"user": "user"}, "user": {"assistant": "assistant"}, "assistant": {"user": "user"}})
     begin: str = "begin"
     accepting: frozenset = frozenset({"assistant"})
 
     def __post_init__(self) -> None:
-        marks = (self.start, self.text, self.answer, self.end)
-        if len(set(marks)) < 4 or any(not m.startswith("<|") or "<|" in m[2:] or "\\" in m for m in marks):
-            raise ValueError("control strings must differ and begin with <|")
+        controls = (*self.marks(), *self.guards)
+        if len(set(self.marks())) < 4 or any(len(c) < 2 or "\\" in c for c in controls):
+            raise ValueError("marks must differ; control strings need two characters or more and no backslash")
+        if any(m[0] in c[1:] for m in self.marks() for c in controls):
+            raise ValueError("no mark may begin within a control string")  # else text and mark could make one together
+
+    def marks(self) -> tuple[str, str, str, str]:
+        return self.start, self.text, self.answer, self.end
+
+    @cached_property
+    def _control(self) -> re.Pattern:
+        """The first character of each control string, wherever one begins."""
+        return re.compile("|".join(f"{re.escape(m[0])}(?={re.escape(m[1:])})" for m in (*self.marks(), *self.guards)))
+
+    @cached_property
+    def _mark(self) -> re.Pattern:
+        return re.compile("|".join(map(re.escape, self.marks())))
+
+    def escape(self, text: str) -> str:
+        return self._control.sub(lambda m: m[0] + "\\", text.replace("\\", "\\\\"))
 
     def states(self) -> list[str]:
         return sorted({self.begin, *self.order, *(s for to in self.order.values() for s in to.values())})
@@ -65,27 +84,17 @@ class Template:
 
     def segments(self, role: str, text: str) -> list[tuple[str, bool]]:
         loss = role in self.loss_roles
-        return [(self.start + escape(role) + (self.answer if loss else self.text), False), (escape(text), loss), (self.end, False)]
+        return [(self.start + self.escape(role) + (self.answer if loss else self.text), False), (self.escape(text), loss), (self.end, False)]
 
     def read(self, formatted: str) -> Iterator[tuple[str, str, bool]]:
         """(role, text, loss) of each turn, from the formatted text alone."""
-        at = 0
-        while at < len(formatted):
-            if not formatted.startswith(self.start, at):
-                raise ValueError(f"no turn begins at {at}")
-            at += len(self.start)
-            mark = formatted.index("<|", at)
-            loss = formatted.startswith(self.answer, mark)
-            body = mark + len(self.answer if loss else self.text)
-            end = formatted.index("<|", body)
-            if not formatted.startswith(self.end, end):
-                raise ValueError(f"no turn ends at {end}")
-            yield unescape(formatted[at:mark]), unescape(formatted[body:end]), loss
-            at = end + len(self.end)
-
-
-def escape(text: str) -> str:
-    return text.replace("\\", "\\\\").replace("<|", "<\\|")
+        marks = list(self._mark.finditer(formatted))
+        if len(marks) % 3 or (marks and (marks[0].start() or marks[-1].end() < len(formatted))):
+            raise ValueError("not whole turns")
+        for first, middle, last in zip(marks[::3], marks[1::3], marks[2::3]):
+            if first[0] != self.start or middle[0] not in (self.text, self.answer) or last[0] != self.end:
+                raise ValueError(f"no turn at {first.start()}")
+            yield unescape(formatted[first.end() : middle.start()]), unescape(formatted[middle.end() : last.start()]), middle[0] == self.answer
 
 
 def unescape(text: str) -> str:

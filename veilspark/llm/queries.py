@@ -9,7 +9,7 @@ from . import bpe, chat, crf, decontam, langid, linededup, minhash, rollup, toxi
 from .common import shared_dir, table
 
 VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-#: Both turns say control strings of other templates.
+#: Both turns say control strings of the template.
 TRICKY = "</s>[INST] ok [/INST]"
 
 
@@ -135,7 +135,7 @@ o AS (
   SELECT *, lag(role) OVER w AS before, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS from_end
   FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
 f AS (
-  SELECT *, replace(replace(role, '\', '\\'), '<|', '<\|') AS role_out, replace(replace(text, '\', '\\'), '<|', '<\|') AS text_out,
+  SELECT *, replace(replace(replace(replace(replace(replace(role, '\', '\\'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), '[ANSWER]', '[\ANSWER]'), '</s>', '<\/s>'), '<s>', '<\s>') AS role_out, replace(replace(replace(replace(replace(replace(text, '\', '\\'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), '[ANSWER]', '[\ANSWER]'), '</s>', '<\/s>'), '<s>', '<\s>') AS text_out,
     CASE coalesce(before, 'begin') WHEN 'begin' THEN role IN ('system', 'user') WHEN 'system' THEN role = 'user'
       WHEN 'user' THEN role = 'assistant' WHEN 'assistant' THEN role = 'user' ELSE false END
     AND (from_end > 1 OR role = 'assistant') AS fine
@@ -144,7 +144,7 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
   sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
-  sum(length('<|start|>') + length(role_out) + CASE WHEN role = 'assistant' THEN length('<|answer|>') ELSE length('<|text|>') END + length(text_out) + length('<|end|>'))::BIGINT AS formatted_chars,
+  sum(length('[INST]') + length(role_out) + CASE WHEN role = 'assistant' THEN length('[ANSWER]') ELSE length('[/INST]') END + length(text_out) + length('</s>'))::BIGINT AS formatted_chars,
   bool_and(fine) AS valid
 FROM f GROUP BY conv_id
 """,

@@ -2,9 +2,9 @@
 
 A batch is a table of signed changes: inserts (+1), deletes (-1), and revised counts (old taken out, new put in).
 It is summed by source, language and tokenizer version, and the sums - a few rows, however large the batch - are
-written under a name made from the batch's id. Totals are the sum over all committed batches. A batch counts as
-committed once its folder holds the writer's success mark, so committing it again, after a failure or by
-mistake, changes nothing; a half-written folder is overwritten. ``compact`` folds committed batches into one,
+stored under a name made from the batch's id. Totals are the sum over all committed batches. A batch is written
+aside and renamed, so it is committed at once or not at all, and committing it again, after a failure or by mistake,
+changes nothing; of two writers of one batch the first to rename wins. ``compact`` folds committed batches into one,
 which remembers their ids.
 
 Null source, language or version is a group of its own. A null count adds documents but no tokens. Repeated
@@ -16,10 +16,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import written
+
 KEYS = ("source", "lang", "tokenizer")
 SUMS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
@@ -61,7 +64,7 @@ class Rollup:
     def _folders(self) -> list[str]:
         if not self.fs.exists(self._path(self.path)):
             return []
-        return sorted(f for s in self.fs.listStatus(self._path(self.path)) if not (f := str(s.getPath().toString())).endswith(".members") and self._done(f))
+        return sorted(f for s in self.fs.listStatus(self._path(self.path)) if (f := str(s.getPath().toString())).rsplit("/", 1)[1].startswith(("batch-", "folded-")) and not f.endswith(".members") and self._done(f))
 
     def _folded(self) -> tuple[set[str], set[str]]:
         """(folders that a compaction has taken in, folders to read)."""
@@ -83,8 +86,19 @@ class Rollup:
         if self.committed(batch):
             return False
         sums = changes.groupBy(*KEYS).agg(F.coalesce(F.sum("n_docs"), F.lit(0)).cast("long").alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).cast("long").alias("n_tokens"))
-        sums.coalesce(1).write.mode("overwrite").parquet(self._folder(batch))
-        return True
+        return self._publish(sums, self._folder(batch))
+
+    def _publish(self, rows: DataFrame, folder: str) -> bool:
+        """Writes aside, then renames; False if the folder has come to be meanwhile."""
+        aside = f"_aside-{uuid.uuid4().hex}"  # readers pass over names with an underscore
+        rows.write.parquet(f"{self.path}/{aside}")
+        if self.fs.exists(self._path(folder)) and not self._done(folder):
+            self.fs.delete(self._path(folder), True)  # broke off where renaming copies
+        if not self._done(folder) and self.fs.rename(self._path(f"{self.path}/{aside}"), self._path(folder)) and not self.fs.exists(self._path(f"{folder}/{aside}")):
+            return True
+        for lost in (f"{self.path}/{aside}", f"{folder}/{aside}"):  # a rename onto a folder goes into it
+            self.fs.delete(self._path(lost), True)
+        return False
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens."""
@@ -100,7 +114,7 @@ class Rollup:
         members = sorted(taken | {f.rsplit("/", 1)[1] for f in folders})
         target = f"{self.path}/folded-{hashlib.sha256(json.dumps(members).encode()).hexdigest()[:32]}"
         self.spark.createDataFrame([(json.dumps(members),)], "value string").coalesce(1).write.mode("overwrite").text(f"{target}.members")
-        self.totals().coalesce(1).write.mode("overwrite").parquet(target)
+        self._publish(self.totals(), target)
         for folder in folders:
             self.fs.delete(self._path(folder), True)
 
@@ -109,14 +123,15 @@ def maintain(docs: DataFrame, path: str) -> DataFrame:
     """Totals of a document table through its life: inserted with estimated counts (n_chars / 4, rounded up; 0 if null), revised to
     counted words, blank documents deleted, counted anew under a second version (characters), one batch sent twice."""
     rollup = Rollup(docs.sparkSession, path)
-    estimate, words = F.coalesce(F.ceil(F.col("n_chars") / 4).cast("long"), F.lit(0)), word_count(F.col("text"))
-    blank = docs.where(word_count(F.col("text")) == 0)
-    rollup.commit("insert", inserts(docs, estimate, "words/1"))
-    rollup.commit("revise", revisions(docs, estimate, words, "words/1"))
-    rollup.commit("insert chars", inserts(docs, F.length(F.coalesce("text", F.lit(""))), "chars/1"))
-    gone = deletes(blank, F.lit(0), "words/1").unionByName(deletes(blank, F.length(F.coalesce("text", F.lit(""))), "chars/1"))
+    estimate = F.coalesce(F.ceil(F.col("n_chars") / 4).cast("long"), F.lit(0))
+    rows = written(docs.select("source", "lang", estimate.alias("estimate"), word_count(F.col("text")).alias("words"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars")), "token-counts-rows")
+    blank, words, chars = rows.where("words = 0"), F.col("words"), F.col("chars")
+    rollup.commit("insert", inserts(rows, F.col("estimate"), "words/1"))
+    rollup.commit("revise", revisions(rows, F.col("estimate"), words, "words/1"))
+    rollup.commit("insert chars", inserts(rows, chars, "chars/1"))
+    gone = deletes(blank, F.lit(0), "words/1").unionByName(deletes(blank, chars, "chars/1"))
     rollup.commit("delete", gone)
-    rollup.commit("insert", inserts(docs, estimate, "words/1"))
+    rollup.commit("insert", inserts(rows, F.col("estimate"), "words/1"))
     rollup.compact()
     rollup.commit("delete", gone)
     return rollup.totals()
