@@ -4,8 +4,10 @@ A linear-chain conditional random field labels the lines of a text content (0) o
 decoding finds the best sequence, and a document is kept if content lines hold at least ``least_content`` of its
 word characters. Lines without a word are not labelled. The field is trained here by gradient ascent of the
 regularised likelihood on a sample of at most ``sample`` labelled documents (lowest hash of the id first): lines
-of good documents are content, lines of poor ones boilerplate. A sampled document is learned from with all its lines;
-of each kind, documents are taken in that order until they hold ``line_budget`` lines. Before the field come two plain rules: too few
+of good documents are content, lines of poor ones boilerplate, and to learn where one turns into the other, poor
+documents are also joined to good ones, before and after. A sampled document is learned from with all its lines;
+of each kind, documents are taken in that order until they hold ``line_budget`` lines; one that is labelled both good
+and poor counts as poor. Before the field come two plain rules: too few
 words, or too many words in repeated three-word windows.
 
 Null and empty texts have no words and fail the first rule. Every row is judged on its own, so ties, repeated
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import joinable, quietly, small_batches
+from .common import joinable, small_batches
 
 SPACE = re.compile(r"[\x20\x09-\x0D]")
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -102,21 +104,32 @@ class Field:
 NOTHING = Field(np.zeros((N_FEATURES, 2)), np.zeros((2, 2)))
 
 
+def joined(sequences: list[tuple[np.ndarray, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Features and a label for each line: of the sequences, and of pairs with different labels, in turns this one and
+    that one first."""
+    out = [(f, np.full(len(f), label)) for f, label in sequences]
+    kinds = [[s for s in out if s[1][0] == kind] for kind in (0, 1)]
+    for n, (content, other) in enumerate(zip(*kinds)):
+        first, then = (content, other) if n % 2 else (other, content)
+        out.append((np.concatenate([first[0], then[0]]), np.concatenate([first[1], then[1]])))
+    return out
+
+
 def train(sequences: list[tuple[np.ndarray, int]], rounds: int = 150, rate: float = 0.5, ridge: float = 1e-3) -> Field:
-    """Sequences of line features with one label each; gradient of the chain's likelihood by forward-backward,
-    over all sequences at once, position by position."""
+    """Sequences of line features with one label each, and these joined in pairs; gradient of the chain's likelihood by
+    forward-backward, over all sequences at once, position by position."""
     if len({label for _, label in sequences}) < 2:
         return NOTHING
-    sequences = sorted(sequences, key=lambda s: -len(s[0]))
-    lengths = np.array([len(f) for f, _ in sequences])
-    labels = np.array([label for _, label in sequences])
+    labelled = sorted(joined(sequences), key=lambda s: -len(s[0]))
+    lengths = np.array([len(f) for f, _ in labelled])
+    labels = np.concatenate([l for _, l in labelled])
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    x = np.concatenate([f for f, _ in sequences])
+    x = np.concatenate([f for f, _ in labelled])
     gold = np.zeros((len(x), 2))
-    gold[np.arange(len(x)), np.repeat(labels, lengths)] = 1
+    gold[np.arange(len(x)), labels] = 1
     active = [int((lengths > t).sum()) for t in range(int(lengths[0]))]
     # whatever their numbers, content lines weigh four times as much as boilerplate: losing good text costs more
-    weight = np.repeat(np.where(labels == 1, 0.2 / max(1, lengths[labels == 1].sum()), 0.8 / max(1, lengths[labels == 0].sum())), lengths)
+    weight = np.where(labels == 1, 0.2 / (labels == 1).sum(), 0.8 / (labels == 0).sum())
     w, s = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
     velocity_w, velocity_s = np.zeros_like(w), np.zeros_like(s)
     for _ in range(rounds):
@@ -146,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, line_budget: int
     """A field from ``labels`` (doc_id, quality). At most ``sample`` documents of each kind come to the driver, as
     features of all their lines; of these ``within`` the budget stay."""
     small_batches(docs.sparkSession)
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("q")).where("doc_id is not null and quality in (0, 1)").distinct()
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("q")).where("doc_id is not null and q in (0, 1)").groupBy("doc_id").agg(F.min("q").alias("q"))
     counts = {r["q"]: r["count"] for r in known.groupBy("q").count().collect()}
     drawn = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30))
     share = F.when(F.col("q") == 0, F.lit(sample * 1.2 / max(1, counts.get(0, 1)))).otherwise(F.lit(sample * 1.2 / max(1, counts.get(1, 1))))
@@ -154,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, line_budget: int
     rows = docs.select("doc_id", "text").join(joinable(chosen, 2 * sample, 24), "doc_id").select("doc_id", "q", "text", drawn.alias("drawn"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in quietly(batches):
+        for batch in batches:
             data = [sequence(t or "")[0].astype(np.float32).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(data, pa.binary()), batch.column(3)], ["doc_id", "q", "lines", "drawn"])
 
@@ -216,7 +229,7 @@ def judge(docs: DataFrame, field: Field, least_words: int = 50, most_repeated: i
     at, names = base.columns.index(text_col), [*base.columns, *(n for n, _ in NEW)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in quietly(batches):
+        for batch in batches:
             rows = []
             for text in batch.column(at).to_pylist():
                 m = measures(text)

@@ -3,8 +3,8 @@
 A text's subwords are the byte n-grams of its lower-cased letters, with one space for each run of other
 characters; each is hashed to a row of an embedding table. The rows' mean goes through a linear softmax. Both
 are trained together by stochastic gradient descent in numpy. Training rows are a sample of at most
-``per_label`` texts for each label, lowest hash of the id first; a fifth of them is held back to calibrate: a
-temperature makes the scores honest, and a text is rejected if its score lies below that which all but one
+``per_label`` texts for each label, lowest hash of the id first; a fifth of them, near copies together, is held back to
+calibrate: a temperature makes the scores honest, and a text is rejected if its score lies below that which all but one
 in ``1 / reject_share`` of the held-back texts reach. A softmax is sure of some texts in no learned language as
 well, so a text is also rejected if the share of its subwords in known buckets - those which hold all but
 ``rare_share`` of the subwords learned from - lies below the bound found in the same way. Neither bound lies above
@@ -12,24 +12,25 @@ what all but one in ``1 / reject_share`` of the whole sample reach, as few held-
 
 Prediction is map-only over whole texts. Null texts and texts without a letter are ``und`` with score 0 and
 rejected. Ties in the sample are broken by the id; repeated rows count each time; null labels are not learned.
-Without any labelled text every row is ``und``.
+Without any labelled text every row is ``und``. Every label is learned; a column with more than ``most_labels`` different
+ones is refused, as it can't hold languages.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import joinable, quietly, small_batches
+from .common import joinable, small_batches
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: ASCII bytes other than letters become spaces; lower() has already run, bytes over 0x7F stay.
 LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 UNKNOWN = "und"
@@ -55,20 +56,23 @@ def subwords(text: str, buckets: int) -> np.ndarray:
 
 
 class Model:
-    """labels, and for each bucket the logits that its embedding adds: embeddings @ weights, since both are linear.
-    The last column of ``logits`` is 1 for known buckets, else 0."""
+    """labels, a row of ``table`` for each bucket, and ``weights`` from a mean row to the labels' logits (None: the rows are
+    logits already, as with few labels; both steps are linear). The table's last column is 1 for known buckets, else 0."""
 
-    def __init__(self, labels: list[str], logits: np.ndarray, bias: np.ndarray, temperature: float, least_score: float, least_known: float = 0.0):
-        self.labels, self.logits, self.bias, self.temperature = labels, logits, bias, temperature
+    def __init__(self, labels: list[str], table: np.ndarray, weights: np.ndarray | None, bias: np.ndarray, temperature: float, least_score: float, least_known: float = 0.0):
+        self.labels, self.table, self.weights, self.bias, self.temperature = labels, table, weights, bias, temperature
         self.least_score, self.least_known = least_score, least_known
 
+    def logits(self, means: np.ndarray) -> np.ndarray:
+        return (means if self.weights is None else means @ self.weights) + self.bias
+
     def scores(self, text: str | None) -> tuple[np.ndarray, float] | None:
         """(score of each label, share of subwords in known buckets)"""
         if not self.labels or not text or not LETTER.search(text):
             return None
-        at = subwords(text, len(self.logits))
-        mean = self.logits.take(at, 0).mean(0) if len(at) else np.zeros(len(self.labels) + 1, np.float32)
-        z = (mean[:-1] + self.bias) / self.temperature
+        at = subwords(text, len(self.table))
+        mean = self.table.take(at, 0).mean(0) if len(at) else np.zeros(self.table.shape[1], np.float32)
+        z = self.logits(mean[:-1]) / self.temperature
         e = np.exp(z - z.max())
         return e / e.sum(), float(mean[-1])
 
@@ -85,7 +89,7 @@ class Model:
 def train(features: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, labels: list[str], buckets: int, dim: int = 16, epochs: int = 6, rate: float = 0.5, reject_share: float = 0.001, rare_share: float = 0.001, seed: int = 7) -> Model:
     """features: for each text its distinct buckets and their shares of its subwords."""
     rng = np.random.default_rng(seed)
-    held = np.arange(len(features)) % 5 == 4 if len(features) >= 50 else np.zeros(len(features), bool)
+    held = held_back([at for at, _ in features], buckets)
     fit = np.flatnonzero(~held)
     table = rng.normal(0, 0.1, (buckets, dim)).astype(np.float32)
     weights, bias = rng.normal(0, 0.1, (dim, len(labels))).astype(np.float32), np.zeros(len(labels), np.float32)
@@ -103,17 +107,19 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, la
             weights -= now * np.outer(hidden, error)
             bias -= 0.1 * now * error
             table[at] -= (now * 20) * share[:, None] * back[None, :]
-    logits = (table @ weights).astype(np.float32)
     mass = np.zeros(buckets)
     for i in fit:
         mass[features[i][0]] += features[i][1]
     order = np.argsort(-mass, kind="stable")
     known = np.zeros((buckets, 1), np.float32)
     known[order[(np.cumsum(mass[order]) - mass[order] < (1 - rare_share) * mass.sum()) & (mass[order] > 0)]] = 1
-    logits = np.hstack([logits, known])
+    few = len(labels) <= dim
+    table = np.hstack([(table @ weights).astype(np.float32) if few else table, known])
+    model = Model(labels, table, None if few else weights, bias, 1.0, 0.0)
     check = held if held.any() else ~held
-    every = np.stack([features[i][1] @ logits[features[i][0]] for i in range(len(features))]).astype(np.float64)
-    z, wanted = every[check, :-1] + bias, targets[check]
+    every = np.stack([share @ table[at] for at, share in features]).astype(np.float64)
+    logits = model.logits(every[:, :-1])
+    z, wanted = logits[check], targets[check]
 
     def soft(t: float, z: np.ndarray = z) -> np.ndarray:
         e = np.exp(z / t - (z / t).max(1, keepdims=True))
@@ -126,27 +132,45 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, la
         """A thousandth lower, as the sums of shares here and the means of prediction round differently."""
         return 0.999 * min(float(np.quantile(v, reject_share, method="lower")) for v in (values[check], values))
 
-    return Model(labels, logits, bias, temperature, least(soft(temperature, every[:, :-1] + bias).max(1)), least(every[:, -1]))
+    model.temperature, model.least_score, model.least_known = temperature, least(soft(temperature, logits).max(1)), least(every[:, -1])
+    return model
+
+
+def held_back(buckets_of: list[np.ndarray], buckets: int, common: float = 0.05) -> np.ndarray:
+    """Marks about a fifth of the texts, by the least hash of the buckets that few texts have: near copies share most of
+    these and so fall on the same side."""
+    if len(buckets_of) < 50:
+        return np.zeros(len(buckets_of), bool)
+    texts = np.zeros(buckets, np.int64)
+    for at in buckets_of:
+        texts[at] += 1
+    mixed = (np.arange(buckets, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
+    rare = texts <= max(2, common * len(buckets_of))
+    least = np.array([int(mixed[some].min()) if len(some := at[rare[at]]) else n for n, at in enumerate(buckets_of)])
+    return least % 5 == 4
 
 
-def fit(docs: DataFrame, learn: Column, buckets: int = 1 << 16, per_label: int = 1000, max_labels: int = 200, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:
-    """A model from the rows where ``learn`` holds. What comes to the driver is bounded: at most ``max_labels``
-    labels (the most frequent), ``per_label`` texts each, and for a text no more than ``buckets`` numbers."""
+def fit(docs: DataFrame, learn: Column, buckets: int = 1 << 16, per_label: int = 1000, most_labels: int = 10_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:
+    """A model from the rows where ``learn`` holds. What comes to the driver is bounded: ``per_label`` texts of each label,
+    and for a text no more than ``buckets`` numbers."""
     small_batches(docs.sparkSession)
-    usable = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(label_col).alias("l")).where(learn & F.col(label_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = usable.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_labels).collect()
+    usable = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(label_col).cast("string").alias("l")).where(learn & F.col(label_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    counts = usable.groupBy("l").count().limit(most_labels + 1).collect()
+    if len(counts) > most_labels:
+        raise ValueError(f"{label_col} has more than {most_labels} different values")
     labels = sorted(r["l"] for r in counts)
+    nothing = Model([], np.zeros((buckets, 1), np.float32), None, np.zeros(1, np.float32), 1.0, 1.0)
     if not labels:
-        return Model([], np.zeros((buckets, 1), np.float32), np.zeros(1, np.float32), 1.0, 1.0)
+        return nothing
     # by a share of each label's rows, so that only a few more than wanted are sorted
     drawn = F.xxhash64(F.lit(11), F.col("i"))
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["l"]), F.lit(min(1.0, (per_label + 6 * per_label**0.5 + 20) / r["count"])))])
-    near = usable.select("i", "l", drawn.alias("h")).where((F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))) < F.element_at(share, F.col("l")))
+    shares = docs.sparkSession.createDataFrame([(r["l"], min(1.0, (per_label + 6 * per_label**0.5 + 20) / r["count"])) for r in counts], usable.select("l").schema.add("share", "double"))
+    near = usable.select("i", "l", drawn.alias("h")).join(F.broadcast(shares), "l").where(F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.col("share"))  # a row for each label
     chosen = near.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy(F.pmod("h", F.lit(1 << 30)), "i"))).where(F.col("n") <= per_label).select("i").distinct()
     sample = usable.join(joinable(chosen, per_label * len(labels), 24), "i", "left_semi").select("i", "l", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in quietly(batches):
+        for batch in batches:
             at, share = [], []
             for text in batch.column(2).to_pylist():
                 values, counts = np.unique(subwords(text, buckets), return_counts=True)
@@ -156,9 +180,10 @@ def fit(docs: DataFrame, learn: Column, buckets: int = 1 << 16, per_label: int =
 
     rows = sorted((r for r in sample.mapInArrow(run, "i string, l string, at binary, share binary").toLocalIterator() if r["at"]), key=lambda r: (hash_of(r["i"]), r["l"], r["at"]))
     if not rows:
-        return Model([], np.zeros((buckets, 1), np.float32), np.zeros(1, np.float32), 1.0, 1.0)
+        return nothing
     features = [(np.frombuffer(r["at"], np.uint32), np.frombuffer(r["share"], np.float32)) for r in rows]
-    return train(features, np.array([labels.index(r["l"]) for r in rows]), labels, buckets)
+    number = {label: n for n, label in enumerate(labels)}
+    return train(features, np.array([number[r["l"]] for r in rows]), labels, buckets)
 
 
 def hash_of(text: str) -> int:
@@ -175,7 +200,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
-        for batch in quietly(batches):
+        for batch in batches:
             out = list(zip(*map(m.predict, batch.column(at).to_pylist()))) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.bool_())], columns)
 

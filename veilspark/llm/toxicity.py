@@ -11,7 +11,8 @@ first); each comes to the driver as at most ``buckets`` distinct numbers. Predic
 texts.
 
 Null and empty texts have no words: probabilities 0, not flagged. Rows are judged one by one; ties, repeated rows
-and further columns have no effect. Without labels of both classes a category's probability is 0.
+and further columns have no effect. Label rows with a null are not used; if a document has several others, it is in a
+category that any of them names. Without labels of both classes a category's probability is 0.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, joinable, quietly, small_batches
+from .common import WordHashes, joinable, small_batches
 
 #: Bytes outside letters become spaces, A-Z lower case; lower() has already handled the rest.
 LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -50,8 +51,8 @@ class Linear:
         return float(1 / (1 + np.exp(-max(-60.0, min(60.0, z)))))
 
 
-def _fit(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, buckets: int, least_seen: int = 3, epochs: int = 12, seed: int = 3) -> Linear:
-    """Logistic regression by stochastic gradient descent, on the log-ratio scaled presence of words."""
+def _fit(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, buckets: int, least_seen: int = 3, epochs: int = 12, batch: int = 16, seed: int = 3) -> Linear:
+    """Logistic regression by stochastic gradient descent in small batches, on the log-ratio scaled presence of words."""
     k = earlier.shape[1]
     if len(set(y.tolist())) < 2:
         return Linear(np.zeros(buckets, np.float32), np.zeros(k), -60.0 if not len(y) or y[0] == 0 else 60.0)
@@ -65,20 +66,36 @@ def _fit(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, buckets: in
     # words that tell the classes apart no better than chance are left out
     spread = np.sqrt(1 / (seen[0] + 0.5) + 1 / (seen[1] + 0.5))
     ratio[np.abs(ratio) < 2.5 * spread] = 0
-    used = [at[ratio[at] != 0] for at in rows]
+    kept = np.flatnonzero(ratio)
+    number = np.full(buckets, -1)
+    number[kept] = np.arange(len(kept))
+    used = [number[at[ratio[at] != 0]] for at in rows]
+    size = np.fromiter(map(len, used), np.int64, len(used))
+    words, begin, scale = np.concatenate([*used, np.empty(0, np.int64)]), np.cumsum(size) - size, ratio[kept]
     rng = np.random.default_rng(seed)
-    w, c, bias = np.zeros(buckets), np.zeros(k), float(np.log(n[1] / n[0]))
+    w, c, bias = np.zeros(len(kept)), np.zeros(k), float(np.log(n[1] / n[0]))
     step, steps = 0, epochs * len(rows)
     for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
-            rate, step = 0.05 * (1 - step / steps) + 1e-4, step + 1
-            at = used[i]
-            z = bias + float((w[at] * ratio[at]).sum()) + float(np.dot(c, earlier[i]))
-            error = 1 / (1 + np.exp(-max(-60.0, min(60.0, z)))) - y[i]
-            w[at] -= rate * (error * ratio[at] + 1e-4 * w[at])
-            c -= rate * error * earlier[i]
-            bias -= rate * error
-    return Linear((w * ratio).astype(np.float32), c, bias)
+        order = rng.permutation(len(rows))
+        for at in range(0, len(order), batch):
+            i = order[at : at + batch]
+            rate, step = 0.05 * (1 - step / steps) + 1e-4, step + len(i)
+            here = words[places(begin[i], size[i])]
+            row = np.repeat(np.arange(len(i)), size[i])
+            z = bias + np.bincount(row, weights=(w * scale)[here], minlength=len(i)) + earlier[i] @ c
+            error = 1 / (1 + np.exp(-np.clip(z, -60, 60))) - y[i]
+            slope = np.bincount(here, weights=error[row], minlength=len(kept)) * scale + 1e-4 * np.bincount(here, minlength=len(kept)) * w
+            w -= rate * slope
+            c -= rate * (error @ earlier[i])
+            bias -= rate * error.sum()
+    weights = np.zeros(buckets, np.float32)
+    weights[kept] = w * scale
+    return Linear(weights, c, bias)
+
+
+def places(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of each stretch, one stretch after the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 class Chain:
@@ -123,10 +140,11 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("junk", "toxic"), sample: int = 10_000, buckets: int = 1 << 18) -> Chain:
-    """A chain from ``labels``: doc_id and the 0/1 columns named in ``categories``. Rows with a null are not used."""
+    """A chain from ``labels``: doc_id and the 0/1 columns named in ``categories``."""
     small_batches(docs.sparkSession)
     columns = [F.col(c).cast("int").alias(f"y{k}") for k, c in enumerate(categories)]
-    known = labels.select("doc_id", *columns).where("doc_id is not null and " + " and ".join(f"y{k} in (0, 1)" for k in range(len(categories)))).dropDuplicates(["doc_id"])
+    known = labels.select("doc_id", *columns).where("doc_id is not null and " + " and ".join(f"y{k} in (0, 1)" for k in range(len(categories))))
+    known = known.groupBy("doc_id").agg(*(F.max(f"y{k}").alias(f"y{k}") for k in range(len(categories))))
     last = F.col(f"y{len(categories) - 1}")
     counts = {r["y"]: r["count"] for r in known.groupBy(last.alias("y")).count().collect()}
     drawn = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1 << 30))
@@ -138,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("junk
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in quietly(batches):
+        for batch in batches:
             at = [word_buckets(t, hashes, buckets).astype(np.int32).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(at, pa.binary()), *batch.columns[2:]], ["doc_id", "at", *names])
 
@@ -162,7 +180,7 @@ def predict(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, c = WordHashes(), shipped.value
-        for batch in quietly(batches):
+        for batch in batches:
             p = [c.probabilities(t, hashes) for t in batch.column(at).to_pylist()]
             columns = list(zip(*p)) or [()] * len(c.categories)
             flags = [x[-1] >= c.threshold and x[-1] > 0 for x in p]
@@ -173,6 +191,10 @@ def predict(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str =
 
 
 def report(docs: DataFrame, labels: DataFrame, **kwargs) -> DataFrame:
-    """A row for each document: doc_id, p_junk, p_toxic, toxic. ``labels`` has quality and toxic, both 0/1."""
-    chain = fit(docs, labels.select("doc_id", (1 - F.col("quality")).alias("junk"), "toxic"), **kwargs)
-    return predict(docs.select("doc_id", "text"), chain).drop("text")
+    """A row for each document: doc_id, a probability p_... for each category, toxic.
+
+    Categories are the label table's 0/1 columns, ``toxic`` last; ``quality`` stands in turned round, as ``junk``.
+    """
+    finer = [c for c, kind in labels.dtypes if c not in ("doc_id", "quality", "toxic", "junk") and kind in ("tinyint", "smallint", "int", "bigint", "boolean")]
+    known = labels.select("doc_id", (1 - F.col("quality")).alias("junk"), *finer, "toxic")
+    return predict(docs.select("doc_id", "text"), fit(docs, known, ("junk", *finer, "toxic"), **kwargs)).drop("text")
