@@ -13,7 +13,6 @@ rows and further columns of any name have no effect. An empty item table leaves
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from itertools import repeat
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import quietly, small_batches
+from .common import small_batches, written
 
 #: Bytes outside words become spaces; A-Z become a-z. Digits, letters and all bytes over 0x7F stay.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -148,36 +147,22 @@ class Automaton:
         return (mask if mask.any() else None), found
 
 
-def shards(items: DataFrame, item_col: str, text_col: str, shard_bytes: int) -> list[list[tuple[str | None, str | None]]]:
-    """The items in lists of at most ``shard_bytes`` of text (one item may be longer), read one partition at a time."""
-    out, size = [[]], 0
-    for row in items.select(F.col(item_col).cast("string"), F.col(text_col)).toLocalIterator():
-        more = len(row[1] or "")
-        if out[-1] and size + more > shard_bytes:
-            out.append([])
-            size = 0
-        out[-1].append((row[0], row[1]))
-        size += more
-    return out
-
-
-_built: dict[str, Automaton] = {}
-
-
-def _automaton(key: str, items: list, window: int) -> Automaton:
-    if key not in _built:
-        _built.clear()
-        _built[key] = Automaton(items, window)
-    return _built[key]
+def sharded(items: DataFrame, item_col: str, text_col: str, shard_bytes: int) -> tuple[DataFrame, int]:
+    """(shard, item, text) and the number of shards: a shard holds about ``shard_bytes`` of text. All windows of an item
+    lie in one shard."""
+    rows = items.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(1, -(-size // shard_bytes))
+    return rows.select(F.pmod(F.xxhash64("item", "text"), F.lit(n)).cast("int").alias("shard"), "item", "text"), n
 
 
 def scan(docs: DataFrame, items: DataFrame, window: int = 13, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_bytes: int = 16 << 20, prefix: str = "decon_") -> DataFrame:
     """``docs`` with ``decon_mask`` (packed bits, one a word; null without hits), ``decon_items``,
     ``decon_words`` and ``decon_hits`` (counts).
 
-    One automaton of at most ``shard_bytes`` of items is shipped at a time. More items mean more passes in a
-    row over the same rows, each adding its hits; documents are never shuffled. Columns of ``docs`` with the
-    new names are replaced.
+    One shard of the items, of about ``shard_bytes``, is on the driver and in a task at a time. With several, each is
+    one pass over the rows as the pass before has written them, adding its hits; documents are never shuffled.
+    Columns of ``docs`` with the new names are replaced.
     """
     small_batches(docs.sparkSession)
     mask_col, items_col, words_col, hits_col = (prefix + x for x in ("mask", "items", "words", "hits"))
@@ -186,13 +171,14 @@ def scan(docs: DataFrame, items: DataFrame, window: int = 13, text_col: str = "t
     schema = T.StructType([*base.schema.fields, T.StructField(mask_col, T.BinaryType()), T.StructField(items_col, T.ArrayType(T.StringType())), T.StructField(words_col, T.LongType()), T.StructField(hits_col, T.LongType())])
     names = schema.names
     out = base
-    for n, part in enumerate(shards(items, item_col, item_text_col, shard_bytes)):
-        key = hashlib.sha256(repr((window, part)).encode("utf-8", "surrogatepass")).hexdigest()
-        shipped = docs.sparkSession.sparkContext.broadcast(part)  # at most shard_bytes
-
-        def run(batches: Iterator[pa.RecordBatch], n=n, key=key, shipped=shipped) -> Iterator[pa.RecordBatch]:
-            automaton = _automaton(key, shipped.value, window)
-            for batch in quietly(batches):
+    rows, n_shards = sharded(items, item_col, item_text_col, shard_bytes)
+    for n in range(n_shards):
+        part = [(r["item"], r["text"]) for r in rows.where(F.col("shard") == n).toLocalIterator()]
+        shipped = docs.sparkSession.sparkContext.broadcast(part)  # one shard
+
+        def run(batches: Iterator[pa.RecordBatch], n=n, shipped=shipped) -> Iterator[pa.RecordBatch]:
+            automaton = Automaton(shipped.value, window)
+            for batch in batches:
                 masks, found, counts, hits = [], [], [], []
                 before = batch.column(width).to_pylist() if n else repeat(None)
                 known = batch.column(width + 1).to_pylist() if n else repeat(None)
@@ -209,6 +195,9 @@ def scan(docs: DataFrame, items: DataFrame, window: int = 13, text_col: str = "t
                 yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(masks, pa.binary()), pa.array(found, pa.list_(pa.string())), pa.array(counts, pa.int64()), pa.array(hits, pa.int64())], names)
 
         out = out.mapInArrow(run, schema)
+        if n + 1 < n_shards:
+            out = written(out, "decontaminated")
+            shipped.unpersist()
     return out
 
 
@@ -239,7 +228,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, coverage:
     at, mask_at = names.index(text_col), found.columns.index(prefix + "mask")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in quietly(batches):
+        for batch in batches:
             columns = list(batch.columns[: len(names)])
             masks = batch.column(mask_at).to_pylist()
             if any(m is not None for m in masks):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, joinable, quietly, small_batches, words_of, written
+from .common import WordHashes, joinable, small_batches, words_of, written
 from .components import components
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -86,7 +86,7 @@ def features(docs: DataFrame, shingle: int, signer: Signer, id_col: str, text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in quietly(batches):
+        for batch in batches:
             n, digest, bands = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(words_of(text), hashes, shingle)
@@ -133,16 +133,16 @@ def forest(left: list, right: list | None, signer: Signer, percent: int, least_s
     return links
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, perms: int = 176, bands: int = 44, rows: int = 8, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, perms: int = 176, bands: int = 44, rows: int = 8, block: int = 256, spread: float = 6.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id, kept. Links need ``percent`` of the union in common.
 
     Signatures agree in a share that spreads around the similarity by sqrt(0.85 * 0.15 / (2 * perms)); pairs
-    more than 4.5 such spreads below the threshold are dropped before the full sets are compared.
+    more than ``spread`` such spreads below (one in 10^9 at the threshold) the threshold are dropped before the full sets are compared.
     """
     spark = docs.sparkSession
     signer = Signer(perms, bands, rows)
     t = percent / 100
-    least_share = max(0.0, t - 4.5 * (t * (1 - t) / (2 * perms)) ** 0.5)
+    least_share = max(0.0, t - spread * (t * (1 - t) / (2 * perms)) ** 0.5)
     found = written(features(docs, shingle, signer, id_col, text_col), "minhash-features")
     named = found.where("digest is not null and doc_id is not null")
     nodes = written(named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n")), "minhash-nodes")
@@ -189,7 +189,7 @@ def _sets(rows: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in quietly(batches):
+        for batch in batches:
             kept, packed = [], []
             for k, (digest, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(5).to_pylist())):
                 data = shingle_set(words_of(text), hashes, shingle).tobytes()
