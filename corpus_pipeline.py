@@ -4,8 +4,9 @@ Every stage but the last takes and returns documents (doc_id, text, lang, source
 its predecessor kept, and its decisions take effect. The last returns token counts and digests.
 
 Null or empty texts have no letter and go in the first stage. Rows that share an id are one document to the
-near-duplicate stage, which keeps one row of them. An empty table gives an empty result; columns beyond those of
-documents, of any name, go through the first four stages unchanged.
+near-duplicate stage: it goes or stays with all its texts, and of rows with one id and one text the one that comes first
+as JSON stays. An empty table gives an empty result; columns beyond those of documents, of any name, go through the
+first four stages unchanged.
 """
 
 from __future__ import annotations
@@ -46,7 +47,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not n:
         return left
     small = joinable(again, n, 24)
-    once = left.join(small, "doc_id", "left_semi").select(*(f"`{c}`" for c in docs.columns)).dropDuplicates(["doc_id"])
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    once = left.join(small, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
     return left.join(small, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns)).unionByName(once)
 
 
@@ -56,9 +58,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and the digests of ids and decoded text. The codec's tables are small, as workers and executors
-    still hold memory of the stages before."""
-    return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, memo=150_000, max_states=200_000)
+    """Token counts and the digests of ids and decoded text. The codec's tables are small, as executors still hold memory
+    of the stages before."""
+    return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, memo=150_000, max_states=100_000)
 
 
 STAGES = [
