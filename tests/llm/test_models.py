@@ -1,10 +1,14 @@
 """Operators 4, 6 and 9: exact parts by brute force, learned parts by accuracy on rows not learned from."""
 
+import hashlib
+import math
 import random
+import unicodedata
 import zlib
 
 import brute
 import numpy as np
+import pytest
 from veilspark.llm import crf, langid, queries, toxicity
 
 
@@ -25,6 +29,72 @@ def test_quality_query(spark, sf_dir):
     assert np.mean([k for q, k in judged if q == 1]) > 0.98 and np.mean([not k for q, k in judged if q == 0]) > 0.9
 
 
+def plain_line_features(text):
+    """The features of op4's lines, one character at a time."""
+    rows, sizes, seen = [], [], set()
+    for line in text.split("\n"):
+        w = brute.words(line)
+        if not w:
+            continue
+        data = [c for c in line.encode()]
+        n = sum(len(x.encode()) for x in w)
+        upper, lower = sum(65 <= c <= 90 for c in data), sum(97 <= c <= 122 or c >= 128 for c in data)
+        signs = sum(chr(c) in "#*$%&|<>" for c in data)
+        loose = sum(all(c in "#*$%&|<>" for c in x) for x in w)
+        rows.append([1, min(1, 4 * signs / n), upper / (upper + lower) if upper + lower else 0, sum(48 <= c <= 57 for c in data) / n, min(1, 4 * sum(chr(c) in "!?" for c in data) / n), 1 - len(set(w)) / len(w) if len(w) > 2 else 0, float(line in seen), 1 / len(w), loose / len(w)])
+        sizes.append(n)
+        seen.add(line)
+    return rows, sizes
+
+
+def test_quality_verdicts_from_the_fitted_field(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    field = crf.fit(docs, labels)
+    out = {r["doc_id"]: r for r in crf.judge(docs, field).collect()}
+    score = lambda x, k: sum(a * b for a, b in zip(x, field.weights[:, k].tolist()))
+    short = 0
+    for i, text in rows_of(spark, sf_dir, "documents", "doc_id", "text"):
+        if out[i]["base_failed"]:
+            assert out[i]["content_share"] is None and not out[i]["kept"]
+            continue
+        rows, sizes = plain_line_features(text)
+        best = [[(score(rows[0], k), [k]) for k in (0, 1)]]
+        for x in rows[1:]:
+            best.append([max(((p + field.steps[j, k] + score(x, k), path + [k]) for j, (p, path) in enumerate(best[-1])), key=lambda y: (y[0], -y[1][-2])) for k in (0, 1)])
+        top, path = max(best[-1], key=lambda y: (y[0], -y[1][-1]))
+        if len(rows) <= 10:  # all paths
+            short += 1
+            node = [[score(x, k) for k in (0, 1)] for x in rows]
+            every = [[(m >> b) & 1 for b in range(len(rows))] for m in range(1 << len(rows))]
+            assert abs(top - max(sum(node[t][k] for t, k in enumerate(p)) + sum(field.steps[a, b] for a, b in zip(p, p[1:])) for p in every)) < 1e-6
+        share = sum(n for n, k in zip(sizes, path) if k == 0) / sum(sizes)
+        assert abs(out[i]["content_share"] - share) < 1e-9 and out[i]["kept"] == (share >= 0.5)
+    assert short > 5
+
+
+def test_lines_of_a_mixed_document(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    field = crf.fit(docs, labels)
+    texts = dict(rows_of(spark, sf_dir, "documents", "doc_id", "text"))
+    kinds = [[texts[i] for i, q in sorted(rows_of(spark, sf_dir, "labels", "doc_id", "quality")) if q == kind and len(brute.words(texts[i])) >= 50] for kind in (0, 1)]
+    right = []
+    for poor, good in zip(*kinds):
+        parts = [good, poor] if len(right) % 2 else [poor, good]
+        n = [len(plain_line_features(p)[0]) for p in parts]
+        found = field.viterbi(crf.sequence("\n".join(parts))[0])
+        wanted = np.repeat([0, 1] if len(right) % 2 else [1, 0], n)
+        right.append(np.mean(found == wanted))
+    assert len(right) > 5 and np.mean(right) > 0.9
+
+
+def test_a_document_labelled_both_ways_is_poor(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(crf, "train", lambda sequences: seen.extend((len(f), label) for f, label in sequences))
+    docs = spark.createDataFrame([(1, "a b\nc d"), (2, "e f")], "doc_id long, text string")
+    crf.fit(docs, spark.createDataFrame([(1, 1), (1, 0), (2, 1), (2, 1)], "doc_id long, quality int"))
+    assert sorted(seen) == [(1, 0), (2, 1)]
+
+
 def test_measures_on_odd_texts():
     rng = random.Random(1)
     for text in [None, "", "  ", "a", "é\u2028b c\x1cd", "a\n\na\n a\n", "a b c a b c", "| | |", "x\r\nx\r\n"] + ["".join(rng.choice("ab \n#é") for _ in range(80)) for _ in range(200)]:
@@ -61,6 +131,68 @@ def test_language_query(spark, sf_dir):
     assert np.mean(held) > 0.95
 
 
+def plain_subwords(text, buckets):
+    """Buckets of byte 2- to 4-grams without an inner space, one at a time."""
+    data = " " + " ".join("".join(chr(c) if c >= 128 or 97 <= c <= 122 else " " for c in text.lower().encode()).split(" ")) + " "
+    data = " " + " ".join(x for x in data.split(" ") if x) + " "
+    out, mask = [], (1 << 32) - 1
+    for n in (2, 3, 4):
+        for i in range(len(data) - n + 1):
+            gram = data[i : i + n]
+            if " " in gram[1:-1]:
+                continue
+            h = ord(gram[0])
+            for c in gram[1:]:
+                h = (h * 0x9E3779B1 + ord(c)) & mask
+            h = ((h ^ h >> 15) * 0x85EBCA6B) & mask
+            out.append((h ^ h >> 13) & (buckets - 1))
+    return out
+
+
+def test_language_scores_from_the_fitted_model(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.fit(docs, ~langid.held_out("i"))
+    out = {r["doc_id"]: r for r in queries.op6_language_id(spark, sf_dir).collect()}
+    for i, text in rows_of(spark, sf_dir, "documents", "doc_id", "text"):
+        if not any(unicodedata.category(c)[0] == "L" for c in text or ""):
+            assert (out[i]["lang_pred"], out[i]["score"], out[i]["rejected"]) == ("und", 0.0, True)
+            continue
+        at = plain_subwords(text, len(model.table))
+        mean = sum(model.table[b].astype(float) for b in at) / len(at)
+        z = (mean[:-1] + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert out[i]["lang_pred"] == model.labels[int(p.argmax())] and abs(out[i]["score"] - p.max()) < 1e-3
+        assert out[i]["rejected"] == bool(p.max() < model.least_score or mean[-1] < model.least_known) or abs(mean[-1] - model.least_known) < 1e-4
+
+
+def test_only_letters_are_text(spark):
+    docs = spark.createDataFrame([(n, ("the cat and the dog " if n % 2 else "der hund und die katze ") * 5, "en" if n % 2 else "de") for n in range(60)], "doc_id long, text string, lang string")
+    model = langid.fit(docs, langid.F.lit(True))
+    odd = spark.createDataFrame([(n, t) for n, t in enumerate(["\u00bd \u00b2", "\u2167", "\u2460", "12", "\u0301", "a"])], "doc_id long, text string")
+    assert [r["lang_pred"] == "und" for r in langid.predict(odd, model).orderBy("doc_id").collect()] == [True] * 5 + [False]
+
+
+def test_every_label_is_learned(spark):
+    stems = ["".join(random.Random(n).choices("abcdefghijklmnopqrstuvwxyz", k=6)) for n in range(230)]
+    docs = spark.createDataFrame([(10 * n + k, f"{s} {s}en {s}ung ver{s} " * 4, f"l{n:03}") for n, s in enumerate(stems) for k in range(4)], "doc_id long, text string, lang string")
+    model = langid.fit(docs, langid.F.lit(True), buckets=1 << 14)
+    assert len(model.labels) == 230 and model.weights is not None
+    out = langid.predict(docs, model).collect()
+    assert {r["lang_pred"] for r in out} <= set(model.labels) and np.mean([r["lang_pred"] == r["lang"] for r in out]) > 0.8
+    with pytest.raises(ValueError):
+        langid.fit(docs, langid.F.lit(True), most_labels=200)
+
+
+def test_near_copies_are_held_back_together():
+    rng = np.random.default_rng(1)
+    texts = []
+    for _ in range(300):
+        base = rng.choice(60000, 400, replace=False)
+        texts += [np.unique(base), np.unique(np.concatenate([base[:396], rng.integers(0, 60000, 4)]))]
+    held = langid.held_back(texts, 1 << 16)
+    assert 0.1 < held.mean() < 0.3 and np.mean(held[::2] == held[1::2]) > 0.95
+
+
 def test_language_edge_rows(spark):
     good = [(i, ("the cat and the dog " if i % 2 else "der hund und die katze ") * 5, "en" if i % 2 else "de") for i in range(120)]
     odd = [(900, None, "en"), (901, "", "en"), (902, "12 !? __", "de"), (903, "the dog " * 40000, None), (None, "die katze und", "de"), (5, "the cat", "en")]
@@ -76,10 +208,58 @@ def test_language_edge_rows(spark):
     assert {r["rejected"] for r in langid.predict(df.where("doc_id < 120"), model).collect()} == {False}
 
 
+def plain_probabilities(chain, text):
+    letters = "".join(chr(c) if c >= 128 or 97 <= c <= 122 else " " for c in (text or "").lower().encode())
+    at = sorted({int.from_bytes(hashlib.blake2b(w.encode("latin-1"), digest_size=8).digest(), "little") % chain.buckets for w in letters.split(" ") if w})
+    out = []
+    for m in chain.models:
+        z = m.bias + sum(float(m.words[b]) for b in at) + sum(c * p for c, p in zip(m.chain.tolist(), out))
+        out.append(1 / (1 + math.exp(-max(-60, min(60, z)))) if at else 0.0)
+    return out
+
+
 def test_toxicity_query(spark, sf_dir):
     out = {r["doc_id"]: r for r in queries.op9_toxicity(spark, sf_dir).collect()}
     texts = dict(rows_of(spark, sf_dir, "documents", "doc_id", "text"))
     assert set(out) == set(texts)
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    chain = toxicity.fit(docs, labels.selectExpr("doc_id", "1 - quality as junk", "toxic"))
+    for i, text in texts.items():
+        p = plain_probabilities(chain, text)
+        assert np.allclose([out[i]["p_junk"], out[i]["p_toxic"]], p, atol=1e-4)
+        assert out[i]["toxic"] == (p[-1] >= chain.threshold and p[-1] > 0) or abs(p[-1] - chain.threshold) < 1e-4
+
+
+def test_three_categories_of_the_label_table(spark):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for n in range(900):
+        rude = rng.random() < 0.4
+        threat = rude and rng.random() < 0.5
+        toxic = threat or (rude and rng.random() < 0.2)
+        said = [rng.choice(["river", "house", "green", "walk", "paper", "table", "music"]) + str(rng.randrange(40)) for _ in range(25)]
+        said += [f"rude{rng.randrange(4)}"] * rude + [f"threat{rng.randrange(4)}"] * threat + [f"hate{rng.randrange(3)}"] * (toxic and not threat)
+        rng.shuffle(said)
+        rows.append((n, " ".join(said)))
+        labels.append((n, int(rng.random() < 0.9), int(rude), int(threat), int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, rude int, threat int, toxic int")
+    out = {r["doc_id"]: r for r in toxicity.report(docs, known.where("doc_id < 600")).collect()}
+    assert list(out[0].asDict()) == ["doc_id", "p_junk", "p_rude", "p_threat", "p_toxic", "toxic"]
+    for column, place in (("p_rude", 2), ("p_threat", 3), ("p_toxic", 4)):
+        assert np.mean([(out[x[0]][column] > 0.5) == x[place] for x in labels[600:]]) > 0.95
+    chain = toxicity.fit(docs, known.where("doc_id < 600"), ("rude", "threat", "toxic"))
+    assert [len(m.chain) for m in chain.models] == [0, 1, 2] and all(m.chain.all() for m in chain.models[1:])
+    for i, text in rows[:80]:
+        assert np.allclose(chain.probabilities(text, toxicity.WordHashes()), plain_probabilities(chain, text), atol=1e-4)
+
+
+def test_several_labels_for_a_document(spark):
+    docs = spark.createDataFrame([(n, ("bad words " if n % 2 else "good words ") + f"w{n % 7}") for n in range(60)], "doc_id long, text string")
+    once = spark.createDataFrame([(n, 1, n % 2) for n in range(60)], "doc_id long, quality int, toxic int")
+    twice = once.unionByName(spark.createDataFrame([(n, 1, 0) for n in range(60)], once.schema)).unionByName(spark.createDataFrame([(0, 1, None)], once.schema))
+    assert sorted(toxicity.report(docs, twice).collect()) == sorted(toxicity.report(docs, once).collect())
+    assert not any(r["toxic"] for r in toxicity.report(docs, once.limit(0)).collect())
 
 
 def test_chain_learns_from_rows_and_earlier_categories():
