@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,7 @@ from veilspark.operators.mask import mask
 from veilspark.plans import subset as subsets
 from veilspark.plans.graph import Cyclic, Graph
 from veilspark.sources import config as configs
+from veilspark.sources import shared
 from veilspark.sources.catalog import ForeignKey, FrameSource, ParquetSource
 from veilspark.sources.store import Store, format_bytes
 
@@ -403,11 +403,11 @@ def sql_findings(*rows: tuple[str, str, str, str, str]) -> str:
 
 @query(
     sql_findings(
-        ("WARNING", "schema", "gone", "", "table present in dump but removed from database"),
-        ("WARNING", "schema", "users", "age", "column present in dump (type: integer) but removed from database"),
-        ("WARNING", "schema", "users", "email", 'column type changed: dump has "text", database has "character varying(255)"'),
-        ("WARNING", "schema", "users", "born", "column added to database since dump (type: date)"),
-        ("WARNING", "schema", "fresh", "", "table added to database since dump (configured for masking)"),
+        ("WARNING", "schema", "gone", "", "dumped, but gone from the source since"),
+        ("WARNING", "schema", "users", "age", "dumped as integer, but gone from the table since"),
+        ("WARNING", "schema", "users", "email", "was text when dumped, is character varying(255) now"),
+        ("WARNING", "schema", "users", "born", "new since the dump, as date"),
+        ("WARNING", "schema", "fresh", "", "new since the dump, and has rules"),
     )
 )
 def schema_drift_live(spark, sf_dir):
@@ -416,10 +416,10 @@ def schema_drift_live(spark, sf_dir):
 
 @query(
     sql_findings(
-        ("ERROR", "schema", "gone", "", "table in dump does not exist in target database"),
-        ("ERROR", "schema", "users", "age", "column in dump (type: integer) does not exist in target"),
-        ("WARNING", "schema", "users", "email", 'type mismatch: dump="text", target="character varying(255)"'),
-        ("WARNING", "schema", "users", "born", "column exists in target (type: date) but not in dump — will be NULL after restore"),
+        ("ERROR", "schema", "gone", "", "the target lacks this table"),
+        ("ERROR", "schema", "users", "age", "the target lacks this column of type integer"),
+        ("WARNING", "schema", "users", "email", "dumped as text, but the target has character varying(255)"),
+        ("WARNING", "schema", "users", "born", "only the target has this column, as date: it gets no values"),
     )
 )
 def schema_drift_restore(spark, sf_dir):
@@ -428,21 +428,21 @@ def schema_drift_restore(spark, sf_dir):
 
 @query(
     sql_findings(
-        ("ERROR", "schema", "absent", "", "table configured for masking does not exist in database"),
-        ("ERROR", "schema", "users", "phone", "column configured for masking does not exist in table"),
-        ("WARNING", "schema", "lost", "", "table in include_tables not found in database"),
+        ("ERROR", "schema", "absent", "", "has rules, but the source has no such table"),
+        ("ERROR", "schema", "users", "phone", "has a rule, but the table has no such column"),
+        ("WARNING", "schema", "lost", "", "listed to be included, but the source has no such table"),
     )
 )
 def schema_check_missing(spark, sf_dir):
     return validate.check_schema(spark, configs.from_dict(RULES), validate.schema_rows(spark, LIVE))
 
 
-@query(sql_findings(("WARNING", "type", "users", "born", 'transformer "mask-name" supports types [text, varchar, character varying], but column type is "date"')))
+@query(sql_findings(("WARNING", "type", "users", "born", "mask-name is made for text, varchar, character varying, not for date")))
 def type_compat_findings(spark, sf_dir):
     return validate.check_types(spark, configs.from_dict(RULES), validate.schema_rows(spark, LIVE))
 
 
-@query(sql_findings(("ERROR", "config", "", "", "connection.dbname is required"), ("ERROR", "config", "users", "id", 'unknown transformer: "no-such"'), ("WARNING", "config", "users", "", "table appears in both include_tables and exclude_tables")))
+@query(sql_findings(("ERROR", "config", "", "", "the connection names no dbname"), ("ERROR", "config", "users", "id", "no mask is called no-such"), ("WARNING", "config", "users", "", "listed to be included and to be excluded: it is excluded")))
 def config_findings(spark, sf_dir):
     return validate.findings(spark, validate.check_config(configs.from_dict(RULES)))
 
@@ -460,7 +460,7 @@ def _cut(c: str) -> str:
 
 @query(
     f"WITH s AS (SELECT row_number() OVER (ORDER BY c_custkey) AS n, c_name, c_mktsegment FROM customer ORDER BY c_custkey LIMIT 5), m AS (SELECT n, 'c_name' AS col, c_name AS a, sha256(c_name) AS b, 'hash-sha256' AS k FROM s UNION ALL SELECT n, 'c_mktsegment', c_mktsegment, '***REDACTED***', 'redact' FROM s) "
-    f"SELECT 'WARNING' AS severity, 'diff' AS category, 'customer' AS \"table\", col AS \"column\", 'row ' || n || ': \"' || {_cut('a')} || '\" -> \"' || {_cut('b')} || '\" (transformer: ' || k || ')' AS message FROM m WHERE a IS DISTINCT FROM b"
+    f"SELECT 'WARNING' AS severity, 'diff' AS category, 'customer' AS \"table\", col AS \"column\", 'row ' || n || ': ' || {_cut('a')} || ' becomes ' || {_cut('b')} || ' by ' || k AS message FROM m WHERE a IS DISTINCT FROM b"
 )
 def diff_preview(spark, sf_dir):
     return validate.preview(t(spark, sf_dir, "customer"), "customer", {"c_name": "hash-sha256", "c_mktsegment": "redact", "c_custkey": "preserve"}, order=["c_custkey"])
@@ -472,8 +472,7 @@ _NATION_LINE = "strlen(n_nationkey::VARCHAR || chr(9) || replace(n_name, '\\', '
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="veilspark-")
-    return f"{base.rstrip('/')}/{next(tempfile._get_candidate_names())}"
+    return shared.folder(spark, "query")
 
 
 @query(f"SELECT 'nation' AS \"table\", count(*) AS rows, sum({_NATION_LINE})::BIGINT AS bytes FROM nation UNION ALL SELECT 'labels', count(*), sum(strlen(doc_id::VARCHAR || chr(9) || quality::VARCHAR || chr(9) || toxic::VARCHAR) + 1)::BIGINT FROM labels")

@@ -11,7 +11,7 @@ from veilspark.functions import masks, pgtypes
 from veilspark.sources.catalog import Source
 from veilspark.sources.config import Config
 
-from .mask import bind, mask
+from .mask import bind, masked
 
 FINDING = "severity string, category string, table string, column string, message string"
 ERROR, WARNING = "ERROR", "WARNING"
@@ -30,14 +30,14 @@ def render(row) -> str:
 def check_config(config: Config) -> list[tuple]:
     out = []
     if not config.storage_dir:
-        out.append((WARNING, "config", "", "", "storage_dir is empty, will use default ./dumps"))
+        out.append((WARNING, "config", "", "", "no storage_dir is given: ./dumps is used"))
     if config.parallelism <= 0:
-        out.append((WARNING, "config", "", "", "parallelism not set or invalid, will default to 4"))
-    out += [(ERROR, "config", "", "", f"connection.{k} is required") for k in ("host", "dbname", "user") if not getattr(config.connection, k)]
+        out.append((WARNING, "config", "", "", "parallelism is not above 0: 4 is used"))
+    out += [(ERROR, "config", "", "", f"the connection names no {k}") for k in ("host", "dbname", "user") if not getattr(config.connection, k)]
     for table, t in sorted(config.tables.items()):
-        out += [(ERROR, "config", table, c, f'unknown transformer: "{m}"') for c, m in sorted(t.columns.items()) if m not in masks.names()]
+        out += [(ERROR, "config", table, c, f"no mask is called {m}") for c, m in sorted(t.columns.items()) if m not in masks.names()]
     both = sorted(set(config.include_tables) & set(config.exclude_tables))
-    return out + [(WARNING, "config", t, "", "table appears in both include_tables and exclude_tables") for t in both]
+    return out + [(WARNING, "config", t, "", "listed to be included and to be excluded: it is excluded") for t in both]
 
 
 def schema_rows(spark: SparkSession, schemas: dict[str, dict[str, str]]) -> DataFrame:
@@ -58,10 +58,10 @@ def check_schema(spark: SparkSession, config: Config, live: DataFrame) -> DataFr
     configured = spark.createDataFrame([(t,) for t, v in sorted(config.tables.items()) if not v.exclude], "table string")
     included = spark.createDataFrame([(t,) for t in config.include_tables], "table string")
     tables = live.select("table").distinct()
-    no_table = configured.join(tables, "table", "left_anti").select(*_finding(ERROR, "schema", F.lit("table configured for masking does not exist in database")))
+    no_table = configured.join(tables, "table", "left_anti").select(*_finding(ERROR, "schema", F.lit("has rules, but the source has no such table")))
     rules = rule_rows(spark, config).where("not exclude").join(tables, "table", "left_semi")
-    no_column = rules.join(live, ["table", "column"], "left_anti").select(*_finding(ERROR, "schema", F.lit("column configured for masking does not exist in table"), F.col("column")))
-    no_included = included.join(tables, "table", "left_anti").select(*_finding(WARNING, "schema", F.lit("table in include_tables not found in database")))
+    no_column = rules.join(live, ["table", "column"], "left_anti").select(*_finding(ERROR, "schema", F.lit("has a rule, but the table has no such column"), F.col("column")))
+    no_included = included.join(tables, "table", "left_anti").select(*_finding(WARNING, "schema", F.lit("listed to be included, but the source has no such table")))
     return no_table.unionByName(no_column).unionByName(no_included)
 
 
@@ -81,19 +81,19 @@ def _changed() -> Column:
 def drift_live(spark: SparkSession, config: Config, dump: DataFrame, live: DataFrame) -> DataFrame:
     """What has changed in the database since the dump; new tables count only if the configuration has them."""
     both = _compared(dump, live)
-    gone = both.where("not live_table").select("table").distinct().select(*_finding(WARNING, "schema", F.lit("table present in dump but removed from database")))
+    gone = both.where("not live_table").select("table").distinct().select(*_finding(WARNING, "schema", F.lit("dumped, but gone from the source since")))
     known = both.where("live_table and dump_table")
-    message = F.when(~F.col("in_live"), F.concat(F.lit("column present in dump (type: "), "d_type", F.lit(") but removed from database"))).when(~F.col("in_dump"), F.concat(F.lit("column added to database since dump (type: "), "l_type", F.lit(")"))).when(_changed(), F.concat(F.lit('column type changed: dump has "'), "d_type", F.lit('", database has "'), "l_type", F.lit('"')))
+    message = F.when(~F.col("in_live"), F.concat(F.lit("dumped as "), "d_type", F.lit(", but gone from the table since"))).when(~F.col("in_dump"), F.concat(F.lit("new since the dump, as "), "l_type")).when(_changed(), F.concat(F.lit("was "), "d_type", F.lit(" when dumped, is "), "l_type", F.lit(" now")))
     columns = known.withColumn("m", message).where("m is not null").select(*_finding(WARNING, "schema", F.col("m"), F.col("column")))
-    added = both.where("not dump_table").select("table").distinct().where(F.col("table").isin(list(config.tables))).select(*_finding(WARNING, "schema", F.lit("table added to database since dump (configured for masking)")))
+    added = both.where("not dump_table").select("table").distinct().where(F.col("table").isin(list(config.tables))).select(*_finding(WARNING, "schema", F.lit("new since the dump, and has rules")))
     return gone.unionByName(columns).unionByName(added)
 
 
 def drift_restore(dump: DataFrame, target: DataFrame) -> DataFrame:
     """What stands in the way of a restore into ``target``."""
     both = _compared(dump, target).where("dump_table")
-    gone = both.where("not live_table").select("table").distinct().select(*_finding(ERROR, "schema", F.lit("table in dump does not exist in target database")))
-    message = F.when(~F.col("in_live"), F.concat(F.lit("column in dump (type: "), "d_type", F.lit(") does not exist in target"))).when(~F.col("in_dump"), F.concat(F.lit("column exists in target (type: "), "l_type", F.lit(") but not in dump — will be NULL after restore"))).when(_changed(), F.concat(F.lit('type mismatch: dump="'), "d_type", F.lit('", target="'), "l_type", F.lit('"')))
+    gone = both.where("not live_table").select("table").distinct().select(*_finding(ERROR, "schema", F.lit("the target lacks this table")))
+    message = F.when(~F.col("in_live"), F.concat(F.lit("the target lacks this column of type "), "d_type")).when(~F.col("in_dump"), F.concat(F.lit("only the target has this column, as "), "l_type", F.lit(": it gets no values"))).when(_changed(), F.concat(F.lit("dumped as "), "d_type", F.lit(", but the target has "), "l_type"))
     severity = F.when(~F.col("in_live"), ERROR).otherwise(WARNING)
     return gone.unionByName(both.where("live_table").withColumn("m", message).where("m is not null").select(*_finding(severity, "schema", F.col("m"), F.col("column"))))
 
@@ -103,7 +103,7 @@ def check_types(spark: SparkSession, config: Config, live: DataFrame) -> DataFra
     declared = spark.createDataFrame([(m.name, list(m.types)) for m in masks.all_masks()], "mask string, types array<string>")
     rules = rule_rows(spark, config).join(live, ["table", "column"]).join(F.broadcast(declared), "mask")  # one row for each registered mask
     fits = F.exists("types", lambda s: F.lower(F.trim(F.col("type"))).contains(F.lower(F.trim(s))))
-    message = F.concat(F.lit('transformer "'), "mask", F.lit('" supports types ['), F.array_join("types", ", "), F.lit('], but column type is "'), "type", F.lit('"'))
+    message = F.concat("mask", F.lit(" is made for "), F.array_join("types", ", "), F.lit(", not for "), "type")
     return rules.where(~fits).select(*_finding(WARNING, "type", message, F.col("column")))
 
 
@@ -118,14 +118,14 @@ def preview(df: DataFrame, table: str, rules: dict[str, str], rows: int = 5, ord
     bound = [(f.name, m) for f, m in zip(df.schema.fields, bind(df.columns, rules)) if m is not None]
     if not bound:
         return findings(df.sparkSession, [])
-    sample = (df.orderBy(*order) if order else df).limit(rows)
-    text = lambda frame: [F.coalesce(pgtypes.encode(F.col(f"`{f.name}`"), f.dataType), F.lit("\\N")).alias(f.name) for f in frame.schema.fields if f.name in dict(bound)]
-    both = sample.select(F.struct(*sample.columns).alias("r")).select(F.monotonically_increasing_id().alias("n"), "r.*")  # one partition after limit
-    after = mask(both, rules)
-    cells = both.select("n", *text(both)).unpivot(["n"], [c for c, _ in bound], "column", "old").join(after.select("n", *text(after)).unpivot(["n"], [c for c, _ in bound], "column", "new"), ["n", "column"])
-    name = F.create_map(*[x for c, m in bound for x in (F.lit(c), F.lit(m.name))])[F.col("column")]
-    message = F.concat(F.lit("row "), (F.col("n") + 1).cast("string"), F.lit(': "'), shown(F.col("old")), F.lit('" -> "'), shown(F.col("new")), F.lit('" (transformer: '), name, F.lit(")"))
-    return cells.where(~F.col("old").eqNullSafe(F.col("new"))).withColumn("table", F.lit(table)).select(*_finding(WARNING, "diff", message, F.col("column")))
+    sample = (df.orderBy(*order) if order else df).limit(rows).select(F.monotonically_increasing_id().alias("n"), *(f"`{f}`" for f, _ in bound))  # one partition after limit
+    fields = {f.name: f for f in df.schema.fields}
+    text = lambda c, name: F.coalesce(pgtypes.encode(c, fields[name].dataType), F.lit("\\N"))
+    # old and new of a row come from one reading of it
+    cells = [F.struct(F.lit(name).alias("column"), F.lit(m.name).alias("mask"), text(F.col(f"`{name}`"), name).alias("old"), text(masked(fields[name], m), name).alias("new")) for name, m in bound]
+    changed = sample.select("n", F.inline(F.array(*cells))).where(~F.col("old").eqNullSafe(F.col("new")))
+    message = F.concat(F.lit("row "), (F.col("n") + 1).cast("string"), F.lit(": "), shown(F.col("old")), F.lit(" becomes "), shown(F.col("new")), F.lit(" by "), "mask")
+    return changed.withColumn("table", F.lit(table)).select(*_finding(WARNING, "diff", message, F.col("column")))
 
 
 class Validator:
@@ -154,7 +154,7 @@ class Validator:
                 found = preview(self.source.read(table), table, t.columns, self.sample_rows, self.order.get(table)).collect()  # 100 rows at most
                 out.append(findings(self.spark, [tuple(r) for r in found]))
             except Exception as e:  # a value that cannot be masked ends this table's preview
-                out.append(findings(self.spark, [(ERROR, "diff", table, "", f"transform error: {str(e).splitlines()[0][:300]}")]))
+                out.append(findings(self.spark, [(ERROR, "diff", table, "", f"a sampled row can't be masked: {str(e).splitlines()[0][:300]}")]))
         return reduce(DataFrame.unionByName, out)
 
     def run(self, names: list[str] | tuple[str, ...] = CHECKS) -> DataFrame:
@@ -164,7 +164,7 @@ class Validator:
             if name == "config":
                 out.append(findings(self.spark, check_config(self.config)))
             elif name in CHECKS and self.source is None:
-                out.append(findings(self.spark, [(ERROR, {"types": "type"}.get(name, name), "", "", "database connection unavailable")]))
+                out.append(findings(self.spark, [(ERROR, {"types": "type"}.get(name, name), "", "", "there is no source to look at")]))
             elif name == "schema":
                 out.append(self._schema())
             elif name == "types":

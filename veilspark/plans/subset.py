@@ -7,8 +7,6 @@ round before has added (the delta) send their keys on.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -16,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.sources.catalog import ForeignKey, Source
+from veilspark.sources.shared import written
 
 from .graph import Cyclic, Graph
 
@@ -57,18 +56,6 @@ def followed(rows: DataFrame, columns: tuple[str, ...], target: DataFrame, targe
     return target.join(keys, same, "left_semi")
 
 
-def _write(df: DataFrame) -> DataFrame:
-    """The rows in the shared folder: lineage ends, lost executors cost nothing."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="veilspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/subset-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _longest_path(plan: Plan) -> int | None:
     """Steps on the longest way along the plan's direction; None if it may loop."""
     if plan.parents and plan.children:
@@ -89,7 +76,8 @@ def resolve(source: Source, plan: Plan) -> dict[str, DataFrame]:
 
 
 def _in_order(source: Source, plan: Plan, seeds: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Without loops: every table is complete once all tables that lead to it are, so one pass and no counting."""
+    """Without loops: every table is complete once all tables that lead to it are, so one pass and no counting. A table
+    whose keys are followed is written first, so that it is read from the source once and all see the same rows."""
     steps = plan.steps()
     order = [t for layer in Graph(plan.columns, ((b, a) for a, _, b, _ in steps)).layers() for t in layer]
     done: dict[str, DataFrame] = {}
@@ -97,12 +85,25 @@ def _in_order(source: Source, plan: Plan, seeds: dict[str, DataFrame]) -> dict[s
         parts = [seeds[table]] if table in seeds else []
         parts += [followed(done[a], ca, source.read(table), cb) for a, ca, b, cb in steps if b == table and a in done]
         if parts:
-            done[table] = reduce(DataFrame.unionByName, parts).distinct()
+            rows = reduce(DataFrame.unionByName, parts)
+            rows = rows if table in seeds and len(parts) == 1 else rows.distinct()  # seeds are distinct already
+            done[table] = written(rows, f"subset-{table}") if any(a == table for a, *_ in steps) else rows
     return done
 
 
+MARKS = ("__row1", "__row2")
+
+
+def marked(rows: DataFrame) -> DataFrame:
+    """With 128 bits that stand for the whole row, NULLs included."""
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    nulls = [c.isNull() for c in columns]
+    return rows.select(*columns, F.xxhash64(*columns, *nulls).alias(MARKS[0]), F.xxhash64(F.lit(1), *nulls, *columns).alias(MARKS[1]))
+
+
 def _in_rounds(source: Source, plan: Plan, seeds: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    have = {t: _write(df) for t, df in seeds.items()}
+    """Each round's new rows are told by their marks from those there are, so only marks of old rows are read again."""
+    have = {t: written(marked(df), f"subset-{t}") for t, df in seeds.items()}
     delta = dict(have)
     for _ in range(plan.max_depth):
         found: dict[str, list[DataFrame]] = {}
@@ -111,15 +112,17 @@ def _in_rounds(source: Source, plan: Plan, seeds: dict[str, DataFrame]) -> dict[
                 found.setdefault(b, []).append(followed(delta[a], ca, source.read(b), cb))
         delta = {}
         for table, parts in found.items():
-            rows = reduce(DataFrame.unionByName, parts)
-            new = _write(rows.subtract(have[table]) if table in have else rows.distinct())  # either way each row once
+            rows = marked(reduce(DataFrame.unionByName, parts))
+            if table in have:
+                rows = rows.join(have[table].select(*MARKS), list(MARKS), "left_anti").select(*rows.columns)
+            new = written(rows.dropDuplicates(list(MARKS)), f"subset-{table}")
             if not new.isEmpty():
                 delta[table] = new
         if not delta:
             break
         for table, new in delta.items():
             have[table] = have[table].unionByName(new) if table in have else new
-    return have
+    return {t: df.drop(*MARKS) for t, df in have.items()}
 
 
 def subset(source: Source, seeds: dict[str, str], **options) -> dict[str, DataFrame]:

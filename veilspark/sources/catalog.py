@@ -11,16 +11,7 @@ from pyspark.sql import types as T
 
 from veilspark.functions.pgtypes import pg_type
 
-from .config import full_name
-
-
-@dataclass(frozen=True)
-class ForeignKey:
-    name: str
-    from_table: str
-    from_columns: tuple[str, ...]
-    to_table: str
-    to_columns: tuple[str, ...]
+from .database import Database, ForeignKey, TableInfo, quoted, regrouped
 
 
 CATALOG = T.StructType([T.StructField("schema", T.StringType()), T.StructField("table", T.StringType()), T.StructField("column", T.StringType()), T.StructField("type", T.StringType()), T.StructField("position", T.LongType()), T.StructField("nullable", T.BooleanType())])
@@ -97,42 +88,69 @@ class FrameSource(Source):
         return self.frames[table]
 
 
+#: Columns of a catalog query of foreign keys, a row for each column pair.
+KEY_ROWS = "schema string, table string, name string, position int, column string, to_schema string, to_table string, to_column string"
+
+
+def keys_of(rows: DataFrame) -> list[ForeignKey]:
+    """Foreign keys from a table of ``KEY_ROWS``."""
+    return regrouped(tuple(r) for r in rows.select("schema", "table", "name", "position", "column", "to_schema", "to_table", "to_column").collect())  # a catalog: a row for each key's column
+
+
 class JdbcSource(Source):
     """A database behind Spark's JDBC reader; needs the database's driver on the class path.
 
-    ``partition`` maps a table to (column, lower, upper, parts) for parallel reads of large tables.
+    A table whose primary key begins with a whole number is read in ``parts`` ranges of it at once, other tables by one
+    task; ``partition`` maps a table to its own (column, lower, upper, parts). Ranges are bounds of equal width, and the
+    first and last take what lies outside, so no row is lost.
     """
 
-    TABLES = "SELECT table_schema AS s, table_name AS t FROM information_schema.tables WHERE table_type = 'BASE TABLE' AND table_schema NOT IN ('pg_catalog', 'information_schema')"
-    KEYS = """SELECT c.constraint_name AS name, c.table_schema AS fs, c.table_name AS ft, k.column_name AS fc, k.ordinal_position AS pos, p.table_schema AS ts, p.table_name AS tt, p.column_name AS tc
-        FROM information_schema.table_constraints c
-        JOIN information_schema.key_column_usage k USING (constraint_schema, constraint_name, table_name)
-        JOIN information_schema.referential_constraints r USING (constraint_schema, constraint_name)
-        JOIN information_schema.key_column_usage p ON p.constraint_schema = r.unique_constraint_schema AND p.constraint_name = r.unique_constraint_name AND p.ordinal_position = k.position_in_unique_constraint
-        WHERE c.constraint_type = 'FOREIGN KEY'"""
-
-    def __init__(self, spark: SparkSession, options: dict[str, str], partition: dict[str, tuple[str, str, str, int]] | None = None):
+    def __init__(self, spark: SparkSession, options: dict[str, str], partition: dict[str, tuple[str, str, str, int]] | None = None, parts: int | None = None, fetch: int = 10_000, schemas: list[str] | None = None):
         super().__init__(spark)
-        self.options, self.partition = options, partition or {}
+        self.database = Database(spark, options, schemas)
+        self.options, self.partition, self.fetch = self.database.options, partition or {}, fetch
+        self.parts = parts or max(2, spark.sparkContext.defaultParallelism)
+        self._info: dict[str, TableInfo] | None = None
 
     def _load(self, **more: str) -> DataFrame:
-        return self.spark.read.format("jdbc").options(**self.options, **more).load()
+        return self.spark.read.format("jdbc").options(**self.options, fetchsize=str(self.fetch), **more).load()
+
+    def describe(self) -> dict[str, TableInfo]:
+        if self._info is None:
+            self._info = self.database.describe()
+        return self._info
 
     def names(self) -> list[str]:
-        return sorted(full_name(r["s"], r["t"]) for r in self._load(query=self.TABLES).collect())
+        return list(self.describe())
 
-    def read(self, table: str) -> DataFrame:
-        more = {"dbtable": table}
+    def schemas(self) -> dict[str, dict[str, str]]:
+        return {t: {c.name: c.type for c in info.columns} for t, info in self.describe().items()}
+
+    def ranges(self, table: str) -> tuple[str, str, str, int] | None:
         if table in self.partition:
-            column, low, high, parts = self.partition[table]
-            more |= {"partitionColumn": column, "lowerBound": low, "upperBound": high, "numPartitions": str(parts)}
-        return self._load(**more)
+            return self.partition[table]
+        info = self.describe()[table]
+        column = info.primary_key[0] if info.primary_key else None
+        if column is None or {c.name: c.type for c in info.columns}[column].split("(")[0] not in ("bigint", "integer", "int", "int8", "int4", "int2", "smallint", "serial", "bigserial"):
+            return None
+        q = '"' + column.replace('"', '""') + '"'
+        low, high = self._load(query=f"SELECT min({q}) AS low, max({q}) AS high FROM {quoted(table)}").first()
+        return None if low is None or low == high else (column, str(low), str(high), min(self.parts, int(high) - int(low)))
+
+    def read(self, table: str) -> DataFrame:
+        more, ranges = {"dbtable": quoted(table)}, self.ranges(table)
+        if ranges is not None:
+            column, low, high, parts = ranges
+            more |= {"partitionColumn": f'"{column}"', "lowerBound": low, "upperBound": high, "numPartitions": str(parts)}
+        df = self._load(**more)
+        types = {c.name: c.type for c in self.describe()[table].columns} if table in self.describe() else {}
+        return df.select(*(F.col(f"`{f.name}`").alias(f.name, metadata=f.metadata | {"pg_type": types.get(f.name, pg_type(f.dataType))}) for f in df.schema.fields))
 
     def foreign_keys(self) -> list[ForeignKey]:
-        """Composite keys are put together by table and name, as names are unique in a table only."""
-        grouped = self._load(query=self.KEYS).groupBy("fs", "ft", "name", "ts", "tt").agg(F.array_sort(F.collect_list(F.struct("pos", "fc", "tc"))).alias("c"))
-        rows = grouped.orderBy("fs", "ft", "name").collect()
-        return [ForeignKey(r["name"], full_name(r["fs"], r["ft"]), tuple(x["fc"] for x in r["c"]), full_name(r["ts"], r["tt"]), tuple(x["tc"] for x in r["c"])) for r in rows]
+        return self.database.foreign_keys()
+
+    def version(self) -> str:
+        return self.database.version()
 
 
 _drivers: dict[str, Callable[..., Source]] = {}

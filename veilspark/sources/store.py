@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import json
+from dataclasses import asdict
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilspark.functions.pgtypes import pg_type
+
+from .database import ColumnInfo, ForeignKey, TableInfo, key_ddl, quoted, table_ddl
+
 TABLE = "STRUCT<schema STRING, name STRING, row_count BIGINT, columns ARRAY<STRING>, column_types ARRAY<STRING>, transformers MAP<STRING,STRING>, data_file STRING, compressed_size_bytes BIGINT, dump_duration_ns BIGINT, original_size_bytes BIGINT>"
 MANIFEST = f"id STRING, created_at TIMESTAMP, source_db STRING, tables ARRAY<{TABLE}>, schema_file STRING, duration_ns BIGINT, description STRING, version STRING, pg_version STRING, total_rows BIGINT, total_size_bytes BIGINT, tags ARRAY<STRING>, config_snapshot STRING"
 SCHEMA_FILE, MANIFEST_FILE = "schema.dump", "metadata.json"
@@ -103,6 +108,9 @@ class Store:
         each = t.select(F.when(F.col("schema").isin("", "public"), F.col("name")).otherwise(F.concat_ws(".", "schema", "name")).alias("table"), "transformers", F.posexplode("columns").alias("n", "column"), "column_types")
         return each.select("table", "column", F.coalesce(F.get("column_types", F.col("n")), F.lit("")).alias("type"), F.element_at("transformers", F.col("column")).alias("transformer"))
 
+    def delete_data(self, dump: str, schema: str, table: str) -> None:
+        self.fs.delete(self._path(self.data_path(dump, schema, table)), True)
+
     def delete(self, dump: str) -> None:
         folder = self._path(self.folder(dump))
         if not self.fs.exists(folder) or not self.fs.getFileStatus(folder).isDirectory():
@@ -110,9 +118,29 @@ class Store:
         self.fs.delete(folder, True)
 
 
-def schema_text(frames: dict[str, DataFrame], keys: list) -> str:
-    """Schemas and foreign keys of all tables, as JSON."""
-    return json.dumps({"tables": {t: df.schema.jsonValue() for t, df in sorted(frames.items())}, "foreign_keys": [k.__dict__ | {"from_columns": list(k.from_columns), "to_columns": list(k.to_columns)} for k in keys]}, indent=1)
+def schema_text(frames: dict[str, DataFrame], keys: list, info: dict | None = None) -> str:
+    """Schemas and foreign keys of all tables, as JSON; what a database tells of its tables - declared types, NOT NULL,
+    defaults, keys, indexes - or else what the frames tell."""
+    tables = {t: (info or {}).get(t) or info_of(df) for t, df in sorted(frames.items())}
+    return json.dumps({"tables": {t: df.schema.jsonValue() for t, df in sorted(frames.items())}, "info": {t: asdict(i) for t, i in tables.items()}, "foreign_keys": [asdict(k) for k in keys]}, indent=1)
+
+
+def info_of(df: DataFrame) -> TableInfo:
+    return TableInfo(tuple(ColumnInfo(f.name, f.metadata.get("pg_type") or pg_type(f.dataType), f.nullable) for f in df.schema.fields))
+
+
+def info_in(text: str) -> tuple[dict[str, TableInfo], list[ForeignKey]]:
+    """Tables and foreign keys of a schema file."""
+    found = json.loads(text)
+    tables = {t: TableInfo(tuple(ColumnInfo(**c) for c in i["columns"]), tuple(i["primary_key"]), tuple((n, u, tuple(cs)) for n, u, cs in i["indexes"])) for t, i in found.get("info", {}).items()}
+    return tables, [ForeignKey(k["name"], k["from_table"], tuple(k["from_columns"]), k["to_table"], tuple(k["to_columns"])) for k in found["foreign_keys"]]
+
+
+def ddl(text: str, quote=quoted) -> list[str]:
+    """Statements that make the tables of a schema file, and then their foreign keys."""
+    tables, keys = info_in(text)
+    made = [sql for t, info in tables.items() for sql in table_ddl(quote, t, info)]
+    return made + [key_ddl(quote, k) for k in keys if k.from_table in tables and k.to_table in tables]
 
 
 def schema_of(text: str) -> dict[str, T.StructType]:
