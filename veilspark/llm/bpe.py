@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import python_task, small_batches
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -657,6 +657,7 @@ def encode_decode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "
     small_batches(docs.sparkSession)
     shipped = _vocabulary(docs, rank_path)
 
+    @python_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Codec(shipped.value, pattern, memo, max_states)
         for batch in batches:
@@ -677,6 +678,7 @@ def encode_ids(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "t
     kept = docs.drop(out_col)
     at = kept.columns.index(text_col)
 
+    @python_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Codec(shipped.value, pattern)
         for batch in batches:
@@ -695,6 +697,7 @@ def token_counts(docs: DataFrame, rank_path: str, pattern: str, text_col: str =
     at = read.columns.index(text_col)
     fields = [f for f in read.schema.fields if f.name != text_col]
 
+    @python_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Codec(shipped.value, pattern)
         for batch in batches:
@@ -711,6 +714,7 @@ def decode_ids(rows: DataFrame, rank_path: str, pattern: str, ids_col: str = "to
     kept = rows.drop(out_col)
     at = kept.columns.index(ids_col)
 
+    @python_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Codec(shipped.value, pattern)
         for batch in batches:

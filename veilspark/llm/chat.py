@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import python_task, small_batches
 
 _UNDO = re.compile(r"\\(.)", re.S)
 
@@ -123,6 +123,7 @@ def formatted(turns: DataFrame, template: Template = Template(), stretch: int =
 
     kind = pa.schema([("conv_id", pa.int64()), ("stretch", pa.int64()), ("part", pa.int64()), ("n_turns", pa.int64()), ("formatted", pa.string()), ("loss", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("effect", pa.list_(pa.int32()))])
 
+    @python_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, part, some = None, 0, []
         for batch in batches:
@@ -169,6 +170,7 @@ def digests(stretches: DataFrame, template: Template = Template()) -> DataFrame:
         def row(self, conv) -> dict:
             return {"conv_id": conv, "n_turns": self.n, "turns_sha256": self.turns.hexdigest(), "loss_chars": self.loss_chars, "loss_sha256": self.loss.hexdigest(), "formatted_chars": self.chars, "valid": self.state in accepting}
 
+    @python_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, now = None, None
         for batch in batches:

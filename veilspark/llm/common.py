@@ -1,16 +1,23 @@
-"""What the operators of this subpackage share: folders, tables and word arrays."""
+"""What the operators of this subpackage share: tables, words and Python tasks."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
-import hashlib
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark.sources.shared import folder as shared_dir
+from veilspark.sources.shared import scratch, written
+
+__all__ = ["joinable", "python_task", "scratch", "shared_dir", "shuffle_partitions", "small_batches", "table", "word_hashes", "words_of", "written"]
+
 #: One letter case and one splitting rule for words: A-Z lower-cased, split at space and \x09-\x0D.
 #: bytes.lower() and bytes.split() follow exactly these two rules on UTF-8.
 
@@ -23,46 +30,15 @@ def words_of(text: str | None, lower: bool = True) -> list[bytes]:
     return (data.lower() if lower else data).split()
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered for up to ``limit`` words (then forgotten, not refused)."""
-
-    def __init__(self, limit: int = 400_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        self[word] = value
-        return value
-
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word, the same in every process."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder below spark.checkpoint.dir; a local one only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="veilspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """The same rows from a table in the shared folder: lineage ends there, and any executor can reread it."""
-    path = shared_dir(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def joinable(small: DataFrame, rows: int, row_bytes: int, limit: int = 64 << 20) -> DataFrame:
     """``small`` marked for broadcast if its counted size is below ``limit``; otherwise as it is, for a shuffled join."""
     return F.broadcast(small) if rows * row_bytes <= limit else small
@@ -84,13 +60,20 @@ def small_batches(spark: SparkSession, rows: int = 500, size: str = "4m") -> Non
         spark.conf.set(key, size)
 
 
-def quietly(batches):
-    """The batches, with the garbage collector's scans of large, acyclic tables put off to every 256th."""
-    gc.disable()
-    try:
-        for n, batch in enumerate(batches, 1):
-            yield batch
-            if n % 256 == 0:
-                gc.collect()
-    finally:
-        gc.enable()
+def python_task(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow. At the end of each task the memory that it has freed goes back to the system: workers live
+    on, and beside them the engine and the stages that follow need it."""
+
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return task

@@ -10,7 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from veilspark.sources.shared import delete
+
+from .common import shared_dir
+
+LINKS = "a long, b long"
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -33,12 +37,18 @@ def components(links: DataFrame) -> DataFrame:
 
     Loops and repeated links do no harm; an empty table gives an empty one.
     """
-    now, size = written(links.select("a", "b").where("a <> b").distinct(), "links"), -1
+    spark, kept = links.sparkSession, shared_dir(links.sparkSession, "links")
+    links.select("a", "b").where("a <> b").distinct().write.parquet(kept)
+    size = -1
     while True:
-        new = written(_star(_star(now, True), False), "links")
+        now = spark.read.schema(LINKS).parquet(kept)
+        path = shared_dir(spark, "links")
+        _star(_star(now, True), False).write.parquet(path)
+        new = spark.read.schema(LINKS).parquet(path)
         n = new.count()
         done = n == size and new.join(now, ["a", "b"], "left_anti").isEmpty()  # links are distinct: as many, none of them new
-        now, size = new, n
+        delete(spark, [kept])  # the last round's links are of no more use
+        now, kept, size = new, path, n
         if done:
             break
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))

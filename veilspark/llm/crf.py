@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import joinable, small_batches
+from .common import joinable, python_task, small_batches
 
 SPACE = re.compile(r"[\x20\x09-\x0D]")
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -166,6 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, line_budget: int
     chosen = known.where(drawn / float(1 << 30) < share).withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(drawn, "doc_id"))).where(F.col("n") <= sample).select("doc_id", "q")
     rows = docs.select("doc_id", "text").join(joinable(chosen, 2 * sample, 24), "doc_id").select("doc_id", "q", "text", drawn.alias("drawn"))
 
+    @python_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = [sequence(t or "")[0].astype(np.float32).tobytes() for t in batch.column(2).to_pylist()]
@@ -228,6 +229,7 @@ def judge(docs: DataFrame, field: Field, least_words: int = 50, most_repeated: i
     base = docs.drop(*(n for n, _ in NEW))
     at, names = base.columns.index(text_col), [*base.columns, *(n for n, _ in NEW)]
 
+    @python_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []

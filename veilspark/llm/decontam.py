@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, written
+from .common import python_task, small_batches, written
 
 #: Bytes outside words become spaces; A-Z become a-z. Digits, letters and all bytes over 0x7F stay.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -156,13 +156,14 @@ def sharded(items: DataFrame, item_col: str, text_col: str, shard_bytes: int) ->
     return rows.select(F.pmod(F.xxhash64("item", "text"), F.lit(n)).cast("int").alias("shard"), "item", "text"), n
 
 
-def scan(docs: DataFrame, items: DataFrame, window: int = 13, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_bytes: int = 16 << 20, prefix: str = "decon_") -> DataFrame:
+def scan(docs: DataFrame, items: DataFrame, window: int = 13, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_bytes: int = 16 << 20, prefix: str = "decon_", cut_over: int | None = None) -> DataFrame:
     """``docs`` with ``decon_mask`` (packed bits, one a word; null without hits), ``decon_items``,
     ``decon_words`` and ``decon_hits`` (counts).
 
     One shard of the items, of about ``shard_bytes``, is on the driver and in a task at a time. With several, each is
     one pass over the rows as the pass before has written them, adding its hits; documents are never shuffled.
-    Columns of ``docs`` with the new names are replaced.
+    Columns of ``docs`` with the new names are replaced. With ``cut_over`` the last pass gives the columns of ``docs`` only:
+    rows of which hits make up 1/``cut_over`` or more are gone, from others the matched spans are cut.
     """
     small_batches(docs.sparkSession)
     mask_col, items_col, words_col, hits_col = (prefix + x for x in ("mask", "items", "words", "hits"))
@@ -176,7 +177,8 @@ def scan(docs: DataFrame, items: DataFrame, window: int = 13, text_col: str = "t
         part = [(r["item"], r["text"]) for r in rows.where(F.col("shard") == n).toLocalIterator()]
         shipped = docs.sparkSession.sparkContext.broadcast(part)  # one shard
 
-        def run(batches: Iterator[pa.RecordBatch], n=n, shipped=shipped) -> Iterator[pa.RecordBatch]:
+        @python_task
+        def run(batches: Iterator[pa.RecordBatch], n=n, shipped=shipped, cutting=cut_over is not None and n + 1 == n_shards) -> Iterator[pa.RecordBatch]:
             automaton = Automaton(shipped.value, window)
             for batch in batches:
                 masks, found, counts, hits = [], [], [], []
@@ -192,9 +194,16 @@ def scan(docs: DataFrame, items: DataFrame, window: int = 13, text_col: str = "t
                     found.append(sorted({*(ids or ()), *(i for i in new if i is not None)}))
                     counts.append(len(words))
                     hits.append(int(np.unpackbits(np.frombuffer(bits, np.uint8)).sum()) if bits else 0)
+                if cutting:
+                    kept = pa.array([not over(h, c, cut_over) for h, c in zip(hits, counts)], pa.bool_())
+                    columns = list(batch.columns[:width])
+                    if any(hits):
+                        columns[at] = pa.array([t if m is None else without_spans(t, m) for t, m in zip(columns[at].to_pylist(), masks)], pa.string())
+                    yield pa.RecordBatch.from_arrays(columns, names[:width]).filter(kept)
+                    continue
                 yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(masks, pa.binary()), pa.array(found, pa.list_(pa.string())), pa.array(counts, pa.int64()), pa.array(hits, pa.int64())], names)
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(run, base.schema if cut_over is not None and n + 1 == n_shards else schema)
         if n + 1 < n_shards:
             out = written(out, "decontaminated")
             shipped.unpersist()
@@ -210,32 +219,22 @@ def report(docs: DataFrame, items: DataFrame, window: int = 13, coverage: int =
         F.col("decon_hits").alias("n_hit"),
         F.size("decon_items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort("decon_items")), 256).alias("items_sha256"),
-        over_limit(coverage).alias("contaminated"),
+        over(F.col("decon_hits"), F.col("decon_words"), coverage).alias("contaminated"),
     )
 
 
-def over_limit(coverage: int, prefix: str = "decon_"):
-    return (F.col(prefix + "hits") > 0) & (F.col(prefix + "hits") * coverage >= F.col(prefix + "words"))
+def over(hits, words, coverage: int):
+    """Hits make up 1/``coverage`` of the words or more; of columns or numbers."""
+    return (hits > 0) & (hits * coverage >= words)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, coverage: int = 20, text_col: str = "text", **kwargs) -> DataFrame:
     """``docs`` without those over the coverage limit; from the others, matched spans of words are cut out of the
     text together with the white space and signs after them. Columns stay as they are."""
-    names, prefix = docs.columns, "decon_"
-    while any(name.startswith(prefix) for name in names):
+    prefix = "decon_"
+    while any(name.startswith(prefix) for name in docs.columns):
         prefix += "_"
-    found = scan(docs, items, window, text_col, prefix=prefix, **kwargs).where(~over_limit(coverage, prefix))
-    at, mask_at = names.index(text_col), found.columns.index(prefix + "mask")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = list(batch.columns[: len(names)])
-            masks = batch.column(mask_at).to_pylist()
-            if any(m is not None for m in masks):
-                columns[at] = pa.array([t if m is None else without_spans(t, m) for t, m in zip(columns[at].to_pylist(), masks)], pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return found.mapInArrow(run, docs.schema)
+    return scan(docs, items, window, text_col, prefix=prefix, cut_over=coverage, **kwargs)
 
 
 def without_spans(text: str, mask: bytes) -> str:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import joinable, small_batches
+from .common import joinable, python_task, small_batches
 
 LETTER = regex.compile(r"\p{L}")
 #: ASCII bytes other than letters become spaces; lower() has already run, bytes over 0x7F stay.
@@ -169,6 +169,7 @@ def fit(docs: DataFrame, learn: Column, buckets: int = 1 << 16, per_label: int =
     chosen = near.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy(F.pmod("h", F.lit(1 << 30)), "i"))).where(F.col("n") <= per_label).select("i").distinct()
     sample = usable.join(joinable(chosen, per_label * len(labels), 24), "i", "left_semi").select("i", "l", "t")
 
+    @python_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, share = [], []
@@ -198,6 +199,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[
     schema = T.StructType([*base.schema.fields, *(T.StructField(n, k) for n, k in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType())))])
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # buckets * labels numbers, both bounded
 
+    @python_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
         for batch in batches:

@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import joinable, shuffle_partitions, written
+from .common import joinable, scratch, shared_dir, shuffle_partitions, written
 
 NEW = "linededup_"
 SPACES = ("\t", "\u000b", "\u000c", "\r", "  ")
@@ -149,11 +149,14 @@ def within_one(a: str, b: str) -> Column:
 
 def _marked(docs: DataFrame, least_words: int, id_col: str, text_col: str) -> DataFrame:
     """``docs`` with bits of the lines that go, 64 to a number: ``linededup_exact`` and ``linededup_near`` (null: none)."""
-    gone = decisions(docs, least_words, id_col, text_col)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("pos", F.lit(64)))
     zero = F.lit(0).cast("long")
-    words = gone.groupBy("doc", "th", F.floor(F.col("pos") / 64).cast("int").alias("w")).agg(F.bit_or(F.when(F.col("near"), zero).otherwise(bit)).alias("e"), F.bit_or(F.when(F.col("near"), bit).otherwise(zero)).alias("r"))
-    words = written(words, "lines-gone")
+    with scratch(docs.sparkSession) as kept:  # the tables on the way go
+        gone = decisions(docs, least_words, id_col, text_col)
+        kept.append(path := shared_dir(docs.sparkSession, "lines-gone"))
+        words = gone.groupBy("doc", "th", F.floor(F.col("pos") / 64).cast("int").alias("w")).agg(F.bit_or(F.when(F.col("near"), zero).otherwise(bit)).alias("e"), F.bit_or(F.when(F.col("near"), bit).otherwise(zero)).alias("r"))
+        words.write.parquet(path)
+    words = docs.sparkSession.read.schema(words.schema).parquet(path)
     sparse = words.groupBy("doc", "th").agg(F.max("w").alias("last"), *(F.map_from_entries(F.collect_list(F.struct("w", c))).alias(c) for c in ("e", "r")))
     dense = lambda c: F.transform(F.sequence(F.lit(0), F.col("last")), lambda w: F.coalesce(F.try_element_at(F.col(c), w), zero))
     per_doc = sparse.select(F.col("doc").alias(f"{NEW}doc"), F.col("th").alias(f"{NEW}th"), dense("e").alias(f"{NEW}exact"), dense("r").alias(f"{NEW}near"))

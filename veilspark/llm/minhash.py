@@ -27,17 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, joinable, small_batches, words_of, written
+from .common import joinable, python_task, small_batches, word_hashes, words_of, written
 from .components import components
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
-def shingle_set(words: list[bytes], hashes: WordHashes, size: int) -> np.ndarray:
+def shingle_set(words: list[bytes], size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; fewer words than ``size`` are one shingle."""
     if not words:
         return np.empty(0, np.uint64)
-    w = hashes.array(words)
+    w = word_hashes(words)
     size = min(size, len(w))
     n = len(w) - size + 1
     h = np.full(n, np.uint64(size))
@@ -84,12 +84,12 @@ def features(docs: DataFrame, shingle: int, signer: Signer, id_col: str, text_co
     """(doc_id, n_shingles, digest, bands) of every row; digest and bands are null for empty sets."""
     small_batches(docs.sparkSession)
 
+    @python_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             n, digest, bands = [], [], []
             for text in batch.column(1).to_pylist():
-                s = shingle_set(words_of(text), hashes, shingle)
+                s = shingle_set(words_of(text), shingle)
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 bands.append(signer.bands(signer.signature(s)) if len(s) else None)
@@ -187,12 +187,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, perms:
 def _sets(rows: DataFrame, shingle: int) -> DataFrame:
     """Members with their full sets, as packed 64-bit hashes; rows whose set has another digest (a repeated id) go."""
 
+    @python_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             kept, packed = [], []
             for k, (digest, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(5).to_pylist())):
-                data = shingle_set(words_of(text), hashes, shingle).tobytes()
+                data = shingle_set(words_of(text), shingle).tobytes()
                 if hashlib.blake2b(data, digest_size=16).digest() == digest:
                     kept.append(k)
                     packed.append(data)

@@ -26,18 +26,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, joinable, small_batches
+from .common import joinable, python_task, small_batches, word_hashes
 
 #: Bytes outside letters become spaces, A-Z lower case; lower() has already handled the rest.
 LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 
-def word_buckets(text: str | None, hashes: WordHashes, buckets: int) -> np.ndarray:
+def word_buckets(text: str | None, buckets: int) -> np.ndarray:
     """Distinct buckets of a whole text's words, sorted."""
     if not text:
         return np.empty(0, np.int64)
     words = set(text.lower().encode("utf-8", "surrogatepass").translate(LETTERS).split())
-    return np.unique((hashes.array(list(words)) & np.uint64(buckets - 1)).astype(np.int64))
+    return np.unique((word_hashes(list(words)) & np.uint64(buckets - 1)).astype(np.int64))
 
 
 class Linear:
@@ -102,8 +102,8 @@ class Chain:
     def __init__(self, categories: list[str], models: list[Linear], threshold: float, buckets: int):
         self.categories, self.models, self.threshold, self.buckets = categories, models, threshold, buckets
 
-    def probabilities(self, text: str | None, hashes: WordHashes) -> list[float]:
-        at = word_buckets(text, hashes, self.buckets)
+    def probabilities(self, text: str | None) -> list[float]:
+        at = word_buckets(text, self.buckets)
         out: list[float] = []
         for model in self.models:
             out.append(model.probability(at, out) if len(at) else 0.0)
@@ -139,7 +139,7 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[best] + below) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("junk", "toxic"), sample: int = 10_000, buckets: int = 1 << 18) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("junk", "toxic"), sample: int = 10_000, buckets: int = 1 << 20) -> Chain:
     """A chain from ``labels``: doc_id and the 0/1 columns named in ``categories``."""
     small_batches(docs.sparkSession)
     columns = [F.col(c).cast("int").alias(f"y{k}") for k, c in enumerate(categories)]
@@ -154,10 +154,10 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("junk
     names = [f"y{k}" for k in range(len(categories))]
     rows = docs.select("doc_id", "text").join(joinable(chosen, sample, 40), "doc_id").select("doc_id", "text", *names)
 
+    @python_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            at = [word_buckets(t, hashes, buckets).astype(np.int32).tobytes() for t in batch.column(1).to_pylist()]
+            at = [word_buckets(t, buckets).astype(np.int32).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(at, pa.binary()), *batch.columns[2:]], ["doc_id", "at", *names])
 
     schema = ", ".join(["doc_id string", "at binary", *(f"{n} int" for n in names)])
@@ -178,10 +178,11 @@ def predict(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str =
     at, names = base.columns.index(text_col), [*base.columns, *new]
     shipped = docs.sparkSession.sparkContext.broadcast(chain)  # buckets * categories numbers, both bounded
 
+    @python_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, c = WordHashes(), shipped.value
+        c = shipped.value
         for batch in batches:
-            p = [c.probabilities(t, hashes) for t in batch.column(at).to_pylist()]
+            p = [c.probabilities(t) for t in batch.column(at).to_pylist()]
             columns = list(zip(*p)) or [()] * len(c.categories)
             flags = [x[-1] >= c.threshold and x[-1] > 0 for x in p]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.float64()) for x in columns), pa.array(flags, pa.bool_())], names)

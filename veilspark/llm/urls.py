@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import python_task
+
 #: (host, path, verdict)
 RULES = [
     ("org", "/", "allow"),
@@ -139,6 +141,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, support:
     for at in range(0, len(mined), shard):
         part = mined[at : at + shard]
 
+        @python_task
         def run(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
             index = Index(part)
             for batch in batches:
