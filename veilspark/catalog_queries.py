@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
 
+import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions import copytext, masks, pgtypes
 from veilspark.operators import jobs, validate
-from veilspark.operators.mask import mask
+from veilspark.operators.mask import check_masks, mask
 from veilspark.plans import subset as subsets
 from veilspark.plans.graph import Cyclic, Graph
 from veilspark.sources import config as configs
 from veilspark.sources import shared
-from veilspark.sources.catalog import ForeignKey, FrameSource, ParquetSource
+from veilspark.sources import store as stores
+from veilspark.sources.catalog import KEY_ROWS, ForeignKey, FrameSource, ParquetSource, keys_of
 from veilspark.sources.store import Store, format_bytes
 
 QUERIES: dict = {}
@@ -530,3 +533,185 @@ SIZES = [0, 1, 1023, 1024, 1536, 1048576, 5000000, 1073741824, 123456789012]
 @query(f"SELECT n, CASE WHEN n >= 1073741824 THEN printf('%.2f GB', n / 1073741824.0::DOUBLE) WHEN n >= 1048576 THEN printf('%.2f MB', n / 1048576.0::DOUBLE) WHEN n >= 1024 THEN printf('%.2f KB', n / 1024.0::DOUBLE) ELSE n || ' B' END AS shown FROM (SELECT unnest({SIZES}::BIGINT[]) AS n)")
 def format_bytes_sizes(spark, sf_dir):
     return values(spark, *SIZES, schema="n long").select("n", format_bytes(F.col("n")).alias("shown"))
+
+
+# what has one row of expectations each ---------------------------------------------------------------------------
+
+
+def sql_values(columns: str, *rows: tuple) -> str:
+    shown = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"{v}::BIGINT" if isinstance(v, int) else sql_list([v])
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(shown, r)) + ')' for r in rows)}) v({columns})"
+
+
+CONFIG_TEXT = """
+parallelism: 3
+exclude_tables: [log]
+tables:
+  users: {columns: {mail: mask-email, name: mask-name}}
+  crm.users: {columns: {name: redact}}
+  trail: {exclude: true, columns: {who: redact}}
+subset: {tables: {users: {where: id < 3}}, resolve_children: true, max_depth: 0}
+"""
+
+
+@query(sql_values('"table", "column", mask, excluded, seed, depth', ("crm.users", "name", "redact", False, None, 10), ("trail", "who", "redact", True, None, 10), ("users", "mail", "mask-email", False, "id < 3", 10), ("users", "name", "mask-name", False, "id < 3", 10)))
+def config_rules(spark, sf_dir):
+    """The YAML configuration as rows."""
+    config = configs.from_dict(yaml.safe_load(CONFIG_TEXT))
+    rows = [(t, c, m, v.exclude, config.subset.seeds.get(t), config.subset.max_depth) for t, v in config.tables.items() for c, m in v.columns.items()]
+    return spark.createDataFrame(rows, "table string, column string, mask string, excluded boolean, seed string, depth long")
+
+
+@query(sql_values('"schema", "table", rules', ("public", "users", "mail=mask-email,name=mask-name"), ("crm", "users", "name=redact"), ("hr", "users", "mail=mask-email,name=mask-name"), ("public", "other", "")))
+def rule_lookup(spark, sf_dir):
+    """Rules under the full name replace those under the bare name as a whole."""
+    config = configs.from_dict(yaml.safe_load(CONFIG_TEXT))
+    rows = [(s, n, ",".join(f"{c}={m}" for c, m in sorted(config.rules(s, n).items()))) for s, n in (("public", "users"), ("crm", "users"), ("hr", "users"), ("public", "other"))]
+    return spark.createDataFrame(rows, "schema string, table string, rules string")
+
+
+@query(sql_values("mask, known", *((m, m != "no-such") for m in ("preserve", "redact", "hash-sha256", "mask-email", "mask-name", "random-int", "no-such"))))
+def mask_names_checked(spark, sf_dir):
+    out = []
+    for name in ("preserve", "redact", "hash-sha256", "mask-email", "mask-name", "random-int", "no-such"):
+        try:
+            check_masks({"t": {"c": name}})
+            out.append((name, True))
+        except ValueError:
+            out.append((name, False))
+    return spark.createDataFrame(out, "mask string, known boolean")
+
+
+CATALOG_KEYS = [
+    ("public", "a", "fk", 2, "y", "public", "p", "q"), ("public", "b", "fk", 1, "x", "audit", "p", "p"), ("public", "a", "fk", 1, "x", "public", "p", "p"),
+    ("audit", "a", "fk", 1, "z", "public", "r", "r"), ("public", "c", "fk", 1, "k", "public", "c", "id"),
+]
+
+
+@query(
+    "SELECT name, CASE fs WHEN 'public' THEN ft ELSE fs || '.' || ft END AS from_table, string_agg(fc, ',' ORDER BY pos) AS from_columns, CASE ts WHEN 'public' THEN tt ELSE ts || '.' || tt END AS to_table, string_agg(tc, ',' ORDER BY pos) AS to_columns "
+    "FROM (VALUES " + ", ".join(f"({sql_list(r)})" for r in CATALOG_KEYS) + ") v(fs, ft, name, pos, fc, ts, tt, tc) GROUP BY fs, ft, name, ts, tt"
+)
+def fk_regrouped(spark, sf_dir):
+    """Catalog rows, one for each column pair, put together by the table that has the key and the key's name."""
+    keys = keys_of(spark.createDataFrame(CATALOG_KEYS, KEY_ROWS))
+    return spark.createDataFrame([(k.name, k.from_table, ",".join(k.from_columns), k.to_table, ",".join(k.to_columns)) for k in keys], "name string, from_table string, from_columns string, to_table string, to_columns string")
+
+
+@query(sql_values("name, followed", ("good", True), ("no_column", False), ("no_table", False)))
+def fk_without_column(spark, sf_dir):
+    """Keys whose columns or tables are missing are not followed, and named."""
+    nation, region = (t(spark, sf_dir, n) for n in ("nation", "region"))
+    keys = [ForeignKey("good", "nation", ("n_regionkey",), "region", ("r_regionkey",)), ForeignKey("no_column", "nation", ("gone",), "region", ("r_regionkey",)), ForeignKey("no_table", "nation", ("n_regionkey",), "gone", ("id",))]
+    plan = subsets.plan(FrameSource(spark, {"nation": nation, "region": region}, keys), {"nation": "true"}, parents=True)
+    return spark.createDataFrame([(k.name, True) for k in plan.keys] + [(n, False) for n in plan.skipped], "name string, followed boolean")
+
+
+@query(sql_values("place, statement", (0, 'CREATE TABLE "public"."nation" ("n_nationkey" bigint, "n_name" text, "n_regionkey" bigint)'), (1, 'CREATE TABLE "public"."region" ("r_regionkey" bigint, "r_name" text)'), (2, 'ALTER TABLE "public"."nation" ADD CONSTRAINT "nation_region" FOREIGN KEY ("n_regionkey") REFERENCES "public"."region" ("r_regionkey")')))
+def schema_ddl(spark, sf_dir):
+    """Statements from a dump's schema file; widths of whole numbers aside."""
+    s = source(spark, sf_dir, ["nation", "region"])
+    text = stores.schema_text({n: s.read(n) for n in s.names()}, s.foreign_keys())
+    return values(spark, *enumerate(x.replace(" integer", " bigint") for x in stores.ddl(text)), schema="place long, statement string")
+
+
+@query(sql_values("category, severity, n", ("config", "ERROR", 1), ("diff", "ERROR", 1), ("type", "ERROR", 1)))
+def check_runner(spark, sf_dir):
+    """Named checks only, unknown names passed over; without a source the others report an error."""
+    config = configs.from_dict({"storage_dir": "d", "parallelism": 1, "connection": {"host": "h", "dbname": "d"}})
+    return validate.Validator(spark, config).run(["diff", "no-such", "config", "types"]).groupBy("category", "severity").agg(F.count("*").alias("n"))
+
+
+def _manifest(store: Store, name: str, at: str) -> None:
+    store.write_manifest(name, {"id": name, "created_at": at, "source_db": "db", "tables": [], "schema_file": "s", "duration_ns": 1})
+
+
+@query(sql_values("place, id", (0, "c"), (1, "a"), (2, "b")))
+def dumps_newest_first(spark, sf_dir):
+    """Folders without a readable manifest are passed over."""
+    store = Store(spark, _folder(spark))
+    for name, at in (("a", "2024-02-02T00:00:00+00:00"), ("b", "2024-01-01T00:00:00+00:00"), ("c", "2024-02-02T00:00:00.5+00:00")):
+        _manifest(store, name, at)
+    store.write_text(f"{store.folder('broken')}/metadata.json", "{")
+    store.create("db", now=datetime(2024, 1, 1))
+    return values(spark, *enumerate(r["id"] for r in store.dumps().collect()), schema="place long, id string")
+
+
+@query(sql_values("step, n", ("made", 1), ("found", 1), ("refused", 5), ("left", 0)))
+def dump_lifecycle(spark, sf_dir):
+    """A dump is made, found and deleted; ids that lead elsewhere, and unknown ones, are refused."""
+    store = Store(spark, _folder(spark))
+    name = store.create("db", "x", datetime(2024, 5, 6, 7, 8, 9))
+    _manifest(store, name, "2024-05-06T07:08:09+00:00")
+    found, refused = store.dumps().count(), 0
+    for bad in ("..", "", "a/b", "a\\b", "unknown"):
+        try:
+            store.delete(bad)
+        except (ValueError, FileNotFoundError):
+            refused += 1
+    store.delete(name)
+    return values(spark, ("made", int(name == "20240506_070809_db_x")), ("found", found), ("refused", refused), ("left", store.dumps().count()), schema="step string, n long")
+
+
+@query('SELECT column_name AS "column", CASE data_type WHEN \'BIGINT\' THEN \'bigint\' WHEN \'INTEGER\' THEN \'integer\' WHEN \'DOUBLE\' THEN \'double precision\' ELSE \'text\' END AS type, CASE column_name WHEN \'c_name\' THEN \'mask-name\' END AS transformer FROM information_schema.columns WHERE table_name = \'customer\'')
+def show_dump_columns(spark, sf_dir):
+    store, dump = _dumped(spark, sf_dir)
+    return store.columns(dump).where("table = 'customer'").select("column", "type", "transformer")
+
+
+@query("SELECT unnest(['region', 'nation', 'customer', 'supplier']) AS name, true AS as_on_disk, true AS smaller_than_text")
+def dump_sizes(spark, sf_dir):
+    """Compressed sizes are those of the files; these rows compress well, but for the smallest tables' headers."""
+    store, dump = _dumped(spark, sf_dir)
+    found = store.tables(dump).collect()  # a row for each table
+    return values(spark, *((r["name"], r["compressed_size_bytes"] == store.size(store.data_path(dump, r["schema"], r["name"])), r["compressed_size_bytes"] < r["original_size_bytes"] + 200) for r in found), schema="name string, as_on_disk boolean, smaller_than_text boolean")
+
+
+@query(f"SELECT 'orders' AS name, count(*) AS row_count FROM ({_O}) UNION ALL SELECT 'customer', count(*) FROM ({_C}) UNION ALL SELECT 'nation', count(*) FROM ({_N}) UNION ALL SELECT 'region', count(*) FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM ({_N}))")
+def subset_job(spark, sf_dir):
+    """Plan, closure, masks, files and manifest in one job."""
+    config = configs.from_dict({"tables": {"customer": {"columns": {"c_name": "redact"}}}, "subset": {"tables": {"orders": {"where": "o_orderkey < 50"}}, "resolve_parents": True}}).with_defaults()
+    store = Store(spark, _folder(spark))
+    dump = jobs.subset_dump(spark, source(spark, sf_dir, STAR), config, store, "tpch")
+    return store.tables(dump).select("name", "row_count")
+
+
+@query(sql_values('"table", "column", mask', *((n, c, m) for n, v in yaml.safe_load(configs.SAMPLE)["tables"].items() for c, m in (v.get("columns") or {}).items())))
+def init_sample(spark, sf_dir):
+    """The sample configuration holds known masks only, and is read as it is written."""
+    config = configs.from_dict(yaml.safe_load(configs.SAMPLE))
+    check_masks({n: v.columns for n, v in config.tables.items()})
+    return spark.createDataFrame([(n, c, m) for n, v in config.tables.items() for c, m in v.columns.items()], "table string, column string, mask string")
+
+
+# a share of the tables, and all of them --------------------------------------------------------------------------
+
+_SEGMENT = "c_mktsegment = 'BUILDING'"
+
+
+@query(f"SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE {_SEGMENT}))")
+def subset_children_of_segment(spark, sf_dir):
+    """Seeds that take a share of their table, whatever its size."""
+    return subsets.subset(source(spark, sf_dir, STAR), {"customer": _SEGMENT}, children=True)["lineitem"]
+
+
+@query(
+    "WITH RECURSIVE e AS (SELECT 'o' AS a, o_orderkey AS x, 'c' AS b, o_custkey AS y FROM orders UNION ALL SELECT 'c', c_custkey, 'n', c_nationkey FROM customer UNION ALL SELECT 's', s_suppkey, 'n', s_nationkey FROM supplier "
+    "UNION ALL SELECT 'n', n_nationkey, 'r', n_regionkey FROM nation UNION ALL SELECT 'o', l_orderkey, 'p', l_partkey FROM lineitem UNION ALL SELECT 'o', l_orderkey, 's', l_suppkey FROM lineitem), "
+    "d AS (SELECT DISTINCT a, x, b, y FROM e UNION SELECT DISTINCT b, y, a, x FROM e), "
+    f"k(a, x) AS (SELECT 'o', o_orderkey FROM orders WHERE {_S} UNION SELECT d.b, d.y FROM k JOIN d ON k.a = d.a AND k.x = d.x) "
+    "SELECT * FROM (SELECT 'orders' AS \"table\", count(*) AS rows FROM orders WHERE o_orderkey IN (SELECT x FROM k WHERE a = 'o') UNION ALL SELECT 'customer', count(*) FROM customer WHERE c_custkey IN (SELECT x FROM k WHERE a = 'c') "
+    "UNION ALL SELECT 'nation', count(*) FROM nation WHERE n_nationkey IN (SELECT x FROM k WHERE a = 'n') UNION ALL SELECT 'region', count(*) FROM region WHERE r_regionkey IN (SELECT x FROM k WHERE a = 'r') "
+    "UNION ALL SELECT 'supplier', count(*) FROM supplier WHERE s_suppkey IN (SELECT x FROM k WHERE a = 's') UNION ALL SELECT 'part', count(*) FROM part WHERE p_partkey IN (SELECT x FROM k WHERE a = 'p') "
+    "UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey IN (SELECT x FROM k WHERE a = 'o') OR l_partkey IN (SELECT x FROM k WHERE a = 'p') OR l_suppkey IN (SELECT x FROM k WHERE a = 's')) WHERE rows > 0"
+)
+def subset_both_converged(spark, sf_dir):
+    """In both directions until nothing is added."""
+    return subsets.row_counts(spark, subsets.subset(source(spark, sf_dir, STAR), {"orders": _S}, parents=True, children=True, max_depth=30))
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS name, (SELECT count(*) FROM {n}) AS row_count" for n in TABLES))
+def dump_all_tables(spark, sf_dir):
+    store = Store(spark, _folder(spark))
+    dump = jobs.dump(spark, source(spark, sf_dir), configs.from_dict({}).with_defaults(), store, "all")
+    return store.tables(dump).select("name", "row_count")
