@@ -1,3 +1,4 @@
+import time
 import random
 
 import brute
@@ -31,6 +32,47 @@ def test_large_cluster_in_blocks(spark):
     assert result(out) == brute.near_duplicates(rows)
 
 
+def test_clusters_of_many_kinds(spark):
+    """Larger than a block: several centres, chains that no centre joins, texts under one id, all against all pairs."""
+    rng = random.Random(8)
+    rows = []
+    for family in range(4):
+        base = [f"f{family}w{rng.randrange(400)}" for _ in range(150)]
+        words = list(base)
+        for i in range(35):
+            if family % 2:  # a chain: each differs a little from the one before
+                words[(i * 4) % 150] = f"c{family}x{i}"
+                own = list(words)
+            else:
+                own = list(base)
+                for _ in range(rng.randrange(5)):
+                    own[rng.randrange(150)] = f"y{rng.randrange(10**6)}"
+            rows.append((rng.randrange(10**6), " ".join(own)))
+    rows = list({i: (i, t) for i, t in rows}.values())
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute.near_duplicates(rows)
+    for rounds in (0, 3):
+        assert result(minhash.near_duplicates(df, block=6, rounds=rounds)) == expected
+    two = [(1, rows[0][1]), (1, rows[40][1])]
+    linked = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame([(i + 10, t) for i, t in rows] + two, "doc_id long, text string"), block=6).collect()}
+    merged = {i for i, (_, c) in expected.items() if c in (expected[rows[0][0]][1], expected[rows[40][0]][1])}
+    assert {i - 10 for i, c in linked.items() if c == 1 and i > 1} == merged
+
+
+def test_a_cluster_of_many_near_copies(spark):
+    rng = random.Random(9)
+    base = [f"w{n}" for n in range(100)]
+    rows = [(7_000, " ".join(base))]
+    for i in range(20_000):
+        words = list(base)
+        words[rng.randrange(100)] = f"x{i}"
+        rows.append((10_000 + i, " ".join(words)))
+    began = time.time()
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+    assert {r["component_id"] for r in out.select("component_id").distinct().collect()} == {7_000}
+    assert time.time() - began < 150
+
+
 def test_edge_rows(spark):
     rows = [(5, None), (6, ""), (7, " \n\t"), (8, "a b"), (9, "A  b"), (10, "a b c"), (11, "Ä x"), (12, "ä x"), (None, "a b"), (13, "long " * 30000), (14, "long " * 30001), (8, "a b")]
     df = spark.createDataFrame([(*r, "z", i) for i, r in enumerate(rows)], "doc_id long, text string, node string, component long")

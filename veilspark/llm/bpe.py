@@ -517,6 +517,8 @@ class Codec:
     pattern a whole text is one stretch and is not remembered.
     """
 
+    at_once = 16_384  # new stretches
+
     def __init__(self, merges: Merges, pattern: str, memo: int = 300_000, max_states: int = 150_000):
         self.merges, self.transducer = merges, Transducer(merges, max_states)
         self.find, self.cuts, self.memo = regex.compile(pattern).findall, pattern == CUT_PATTERN, memo
@@ -554,10 +556,11 @@ class Codec:
         """Numbers of distinct stretches."""
         found = np.fromiter(map(known.get, stretches, repeat(-1)), np.int64, len(stretches))
         lacking = np.flatnonzero(found < 0).tolist()
-        if lacking:
-            new = [stretches[i] for i in lacking]
-            found[lacking] = self._learn([space + s for s in new])
-            known.update(zip(new, found[lacking].tolist()))
+        for i in range(0, len(lacking), self.at_once):
+            some = lacking[i : i + self.at_once]
+            new = [stretches[i] for i in some]
+            found[some] = self._learn([space + s for s in new])
+            known.update(zip(new, found[some].tolist()))
         return found
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -648,10 +651,10 @@ def _vocabulary(docs: DataFrame, rank_path: str):
     return docs.sparkSession.sparkContext.broadcast(_compiled[key])
 
 
-def encode_decode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", memo: int = 300_000, max_states: int = 150_000) -> DataFrame:
+def encode_decode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", memo: int = 300_000, max_states: int = 150_000, rows: int = 500) -> DataFrame:
     """A row for each document: id, n_tokens, ids_sha256, decoded_sha256 (see the module for empty cases).
 
-    No shuffle; a task holds one batch of texts with its ids, and the codec's tables, which ``memo`` (remembered
+    No shuffle; a task holds the ids of ``rows`` texts at once, and the codec's tables, which ``memo`` (remembered
     stretches) and ``max_states`` bound and which go at its end.
     """
     small_batches(docs.sparkSession)
@@ -660,11 +663,11 @@ def encode_decode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "
     @python_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Codec(shipped.value, pattern, memo, max_states)
-        for batch in batches:
+        for batch in (whole.slice(i, rows) for whole in batches for i in range(0, whole.num_rows, rows)):
             ids, count = c.encode_all(batch.column(1))
             ends = np.cumsum(count)
             digests = [c.digests(ids[end - n : end]) for n, end in zip(count.tolist(), ends.tolist())]
-            ids_sha, text_sha = zip(*digests) if digests else ((), ())
+            ids_sha, text_sha = zip(*digests)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()

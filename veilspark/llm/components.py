@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from veilspark.sources.shared import delete
 
-from .common import shared_dir
+from .common import joinable, shared_dir, written
 
 LINKS = "a long, b long"
 
@@ -23,8 +23,8 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         sides = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         sides = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = sides.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.col("n")).alias("m"))
-    joined = sides.join(least, sides["a"] == least["n"])
+    least = written(sides.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.col("n")).alias("m")), "links-least")
+    joined = sides.join(joinable(least, least.count(), 16), F.col("a") == F.col("n"))  # written first, so that a hub's side can be split
     out = joined.where(F.col("b") > F.col("a")) if large else joined
     out = out.select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:

@@ -8,9 +8,12 @@ bucket with probability 7e-7, one at 0.3 shares one with probability 0.3 %.
 
 Steps: (1) signatures, map-only; (2) equal sets become one node, their least id; (3) buckets with two nodes or
 more chain nodes into clusters (links to the bucket's least node, then components) - no pair is formed; (4) a
-cluster is dealt into blocks of at most ``block`` nodes, and each pair of blocks is compared by one task: first
-by all signature values, then on full sets. Pairs already joined in that task are skipped, so a task returns a
-spanning forest, fewer links than it has nodes; (5) components of these links.
+cluster of at most ``block`` nodes is compared by one task, first by all signature values, then on full sets; pairs
+already joined are skipped, so a task returns a spanning forest, fewer links than it has nodes; (5) in a larger cluster
+all nodes are first compared with a few central ones - those that share the most with others - ``rounds`` times,
+each time with central nodes that the largest part has not taken in; then only nodes outside the largest part are
+compared, in blocks, with all others. So near copies of one text cost a few comparisons each, and pairs are all
+compared only among nodes that no central one joins; (6) components of all links.
 
 Rows with the same id are one document. A null id has no component: such rows come back with a null
 component_id, kept, linked with nothing. Without words: an empty set, linked with nothing.
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -98,13 +102,20 @@ def features(docs: DataFrame, shingle: int, signer: Signer, id_col: str, text_co
     return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<bigint>")
 
 
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
 def forest(left: list, right: list | None, signer: Signer, percent: int, least_share: float) -> list[tuple[int, int]]:
     """Links (i, j) that join similar members of ``left`` (or of left and right), none where already joined.
 
-    Members are (node, set). least_share: pairs whose signatures agree in a smaller share are not similar enough.
+    Members are (node, part, set); members of one part are joined already. least_share: pairs whose signatures agree in a
+    smaller share are not similar enough.
     """
     members = left + (right or [])
-    up = list(range(len(members)))
+    first: dict[int, int] = {}
+    up = [first.setdefault(part, i) for i, (_, part, _) in enumerate(members)]
 
     def root(i: int) -> int:
         while up[i] != i:
@@ -112,8 +123,8 @@ def forest(left: list, right: list | None, signer: Signer, percent: int, least_s
             i = up[i]
         return i
 
-    low = np.stack([signer.signature(s) for _, s in members]).astype(np.uint8)
-    size = np.array([len(s) for _, s in members])
+    low = np.stack([signer.signature(s) for *_, s in members]).astype(np.uint8)
+    size = np.array([len(s) for *_, s in members])
     least_equal = least_share * low.shape[1]
     links = []
     for i in range(len(left)):
@@ -125,19 +136,18 @@ def forest(left: list, right: list | None, signer: Signer, percent: int, least_s
         close = (100 * np.minimum(n, size[i]) >= percent * np.maximum(n, size[i])) & ((low[begin:] == low[i]).sum(1) >= least_equal)
         for j in np.flatnonzero(close) + begin:
             a, b = root(i), root(int(j))
-            if a != b:
-                common = len(np.intersect1d(members[i][1], members[j][1], assume_unique=True))
-                if 100 * common >= percent * (size[i] + size[j] - common):
-                    up[a] = b
-                    links.append((members[i][0], members[j][0]))
+            if a != b and alike(members[i][2], members[j][2], percent):
+                up[a] = b
+                links.append((members[i][0], members[j][0]))
     return links
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, perms: int = 176, bands: int = 44, rows: int = 8, block: int = 256, spread: float = 6.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, perms: int = 176, bands: int = 44, rows: int = 8, block: int = 256, rounds: int = 3, spread: float = 6.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id, kept. Links need ``percent`` of the union in common.
 
     Signatures agree in a share that spreads around the similarity by sqrt(0.85 * 0.15 / (2 * perms)); pairs
-    more than ``spread`` such spreads below (one in 10^9 at the threshold) the threshold are dropped before the full sets are compared.
+    more than ``spread`` such spreads below the threshold (one in 10^9 of those at it) are dropped before the full sets
+    are compared.
     """
     spark = docs.sparkSession
     signer = Signer(perms, bands, rows)
@@ -157,23 +167,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, perms:
     clusters = written(components(chains), "minhash-clusters")
 
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
-    blocks = sizes.select("component", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    member = clusters.join(blocks, "component").join(nodes.select("node", "digest"), "node")
-    member = written(member.select("node", "digest", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")), "minhash-members")
+    member = written(clusters.join(sizes, "component").join(nodes.select("node", "digest"), "node").select("node", "digest", "component", "size"), "minhash-members")
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    wanted = joinable(member, member.count(), 100)
-    sets = _sets(wanted.join(texts, "node"), shingle)
-    dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "node", "shingles")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("node", kind="stable")
-        pick = lambda g: [(int(n), np.frombuffer(s, np.uint64)) for n, s in zip(g["node"], g["shingles"])]
-        cross = group["i"].iloc[0] != group["j"].iloc[0]
-        left, right = (pick(group[~group["second"]]), pick(group[group["second"]])) if cross else (pick(group), None)
-        links = forest(left, right, signer, percent, least_share) if left else []
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-
-    links = dealt.groupBy("component", "i", "j").applyInPandas(compare, "a long, b long")
+    sets = _sets(joinable(member, member.count(), 100).join(texts, "node"), shingle)
+    compare = _comparison(signer, percent, least_share)
+    links = sets.where(F.col("size") <= block).select("component", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("second"), "node", F.col("node").alias("part"), "digest", "shingles").groupBy("component", "i", "j").applyInPandas(compare, LINK)
+    large = member.where(F.col("size") > block)
+    if not large.isEmpty():
+        sets = written(sets.where(F.col("size") > block).select("node", "digest", "component", "shingles").dropDuplicates(["node", "digest"]), "minhash-large")
+        links = links.unionByName(_large(sets, banded, compare, percent, block, rounds))
     linked = components(links.unionByName(by_id))
     rep = nodes.join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("node_component"))
     return (
@@ -184,6 +186,76 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, perms:
     )
 
 
+LINK = "a long, b long"
+
+
+def _comparison(signer: Signer, percent: int, least_share: float):
+    """Compares the members of a group: all with each other, or the first with the second ones."""
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("node", kind="stable").drop_duplicates(["node", "digest", "second"])
+        pick = lambda g: [(int(n), int(p), np.frombuffer(s, np.uint64)) for n, p, s in zip(g["node"], g["part"], g["shingles"])]
+        left, right = pick(group[~group["second"]]), pick(group[group["second"]]) or None
+        links = forest(left, right, signer, percent, least_share) if left else []
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return compare
+
+
+def _large(sets: DataFrame, banded: DataFrame, compare, percent: int, block: int, rounds: int, central: int = 4) -> DataFrame:
+    """Links of clusters of more than ``block`` nodes; sets: (node, digest, component, shingles)."""
+    ids = sets.select("node", "component").distinct()
+    n = ids.count()
+    shares = banded.join(joinable(ids.select("node"), n, 8), "node")
+    score = shares.join(shares.groupBy("band").agg(F.count("*").alias("shared")), "band").groupBy("node").agg(F.sum("shared").alias("score"))
+    state = written(ids.join(score, "node").select("node", "component", "score", F.col("node").alias("part")), "minhash-parts")
+    found = []
+
+    def outside(state: DataFrame) -> DataFrame:
+        """Nodes that do not lie in the largest part of their cluster."""
+        parts = state.groupBy("component", "part").agg(F.count("*").alias("size"))
+        largest = parts.groupBy("component").agg(F.max(F.struct("size", "part")).alias("most")).select("component", F.col("most.part").alias("main"))
+        return state.join(largest, "component").where("part <> main").drop("main")
+
+    @python_task
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, x, y = (c.to_pylist() for c in batch.columns)
+            fits = [alike(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64), percent) for s, t in zip(x, y)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(fits, pa.bool_()))
+
+    for n_round in range(rounds):
+        free = outside(state) if n_round else state
+        best = _top(free, central)
+        chosen = written(best.join(sets, ["node", "component"]).select(F.col("node").alias("b"), "component", F.col("shingles").alias("y")), "minhash-central")
+        count, size = chosen.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("y")), F.lit(0))).first()
+        if not count:
+            break
+        pairs = sets.join(joinable(chosen, 1, size + 32 * count), "component").where("node <> b").select(F.col("node").alias("a"), "b", F.col("shingles").alias("x"), "y")
+        found.append(written(pairs.mapInArrow(verified, LINK), "minhash-central-links"))
+        joined = components(reduce(DataFrame.unionByName, found)).select("node", F.col("component").alias("joined"))
+        state = written(state.join(joined, "node", "left").select("node", "component", "score", F.coalesce("joined", "node").alias("part")), "minhash-parts")
+
+    rest = written(outside(state).select("node", "component"), "minhash-rest")
+    counts = rest.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("rows")).join(ids.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("columns")), "component")
+    all_of = state.select("node", "part").join(sets, "node").join(counts, "component")
+    row, column = (F.pmod(F.xxhash64(F.lit(k), "node"), F.col(of)).cast("int") for k, of in ((1, "rows"), (2, "columns")))
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    left = all_of.join(rest, ["node", "component"], "left_semi").select("component", row.alias("i"), each("columns").alias("j"), F.lit(False).alias("second"), "node", "part", "digest", "shingles")
+    right = all_of.select("component", each("rows").alias("i"), column.alias("j"), F.lit(True).alias("second"), "node", "part", "digest", "shingles")
+    return reduce(DataFrame.unionByName, found, left.unionByName(right).groupBy("component", "i", "j").applyInPandas(compare, LINK))
+
+
+def _top(state: DataFrame, n: int) -> DataFrame:
+    """(node, component) of the ``n`` nodes with the highest scores of each cluster, by partial maxima."""
+    best, left = [], state.select("component", F.struct("score", "node").alias("x"))
+    for _ in range(n):
+        top = written(left.groupBy("component").agg(F.max("x").alias("top")), "minhash-top")
+        best.append(top.select("top.node", "component"))
+        left = left.join(top, "component").where("x <> top").select("component", "x")
+    return reduce(DataFrame.unionByName, best)
+
+
 def _sets(rows: DataFrame, shingle: int) -> DataFrame:
     """Members with their full sets, as packed 64-bit hashes; rows whose set has another digest (a repeated id) go."""
 
@@ -191,12 +263,12 @@ def _sets(rows: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, packed = [], []
-            for k, (digest, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(5).to_pylist())):
+            for k, (digest, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(4).to_pylist())):
                 data = shingle_set(words_of(text), shingle).tobytes()
                 if hashlib.blake2b(data, digest_size=16).digest() == digest:
                     kept.append(k)
                     packed.append(data)
             some = batch.take(pa.array(kept, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*some.columns[:1], *some.columns[2:5], pa.array(packed, pa.binary())], ["node", "component", "blocks", "own", "shingles"])
+            yield pa.RecordBatch.from_arrays([*some.columns[:4], pa.array(packed, pa.binary())], ["node", "digest", "component", "size", "shingles"])
 
-    return rows.select("node", "digest", "component", "blocks", "own", "text").mapInArrow(run, "node long, component long, blocks int, own int, shingles binary")
+    return rows.select("node", "digest", "component", "size", "text").mapInArrow(run, "node long, digest binary, component long, size long, shingles binary")
