@@ -1,5 +1,5 @@
-import time
 import random
+import time
 
 import brute
 from veilspark.llm import minhash, queries
@@ -51,8 +51,8 @@ def test_clusters_of_many_kinds(spark):
     rows = list({i: (i, t) for i, t in rows}.values())
     df = spark.createDataFrame(rows, "doc_id long, text string")
     expected = brute.near_duplicates(rows)
-    for rounds in (0, 3):
-        assert result(minhash.near_duplicates(df, block=6, rounds=rounds)) == expected
+    for central in (0, 8):
+        assert result(minhash.near_duplicates(df, block=6, central=central)) == expected
     two = [(1, rows[0][1]), (1, rows[40][1])]
     linked = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame([(i + 10, t) for i, t in rows] + two, "doc_id long, text string"), block=6).collect()}
     merged = {i for i, (_, c) in expected.items() if c in (expected[rows[0][0]][1], expected[rows[40][0]][1])}

@@ -10,10 +10,10 @@ Steps: (1) signatures, map-only; (2) equal sets become one node, their least id;
 more chain nodes into clusters (links to the bucket's least node, then components) - no pair is formed; (4) a
 cluster of at most ``block`` nodes is compared by one task, first by all signature values, then on full sets; pairs
 already joined are skipped, so a task returns a spanning forest, fewer links than it has nodes; (5) in a larger cluster
-all nodes are first compared with a few central ones - those that share the most with others - ``rounds`` times,
-each time with central nodes that the largest part has not taken in; then only nodes outside the largest part are
-compared, in blocks, with all others. So near copies of one text cost a few comparisons each, and pairs are all
-compared only among nodes that no central one joins; (6) components of all links.
+all nodes are first compared with ``central`` ones - half of them those that share the most with others, half drawn by
+hash - and then only nodes outside the largest part that this joins are compared, in blocks, with all others. So near
+copies of one text cost a few comparisons each, and pairs are all compared only among nodes that no central one joins;
+(6) components of all links.
 
 Rows with the same id are one document. A null id has no component: such rows come back with a null
 component_id, kept, linked with nothing. Without words: an empty set, linked with nothing.
@@ -23,12 +23,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import joinable, python_task, small_batches, word_hashes, words_of, written
@@ -142,7 +141,7 @@ def forest(left: list, right: list | None, signer: Signer, percent: int, least_s
     return links
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, perms: int = 176, bands: int = 44, rows: int = 8, block: int = 256, rounds: int = 3, spread: float = 6.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, perms: int = 176, bands: int = 44, rows: int = 8, block: int = 256, central: int = 8, spread: float = 6.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id, kept. Links need ``percent`` of the union in common.
 
     Signatures agree in a share that spreads around the similarity by sqrt(0.85 * 0.15 / (2 * perms)); pairs
@@ -162,20 +161,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, perms:
 
     firsts = named.join(nodes.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
     banded = written(firsts, "minhash-bands")  # a repeated row repeats its bands, which does no harm
-    heads = banded.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("band", "a")
-    chains = banded.join(heads, "band").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    heads = banded.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n")).where("a <> z").select("band", "a", "n")
+    met = written(banded.join(heads, "band").groupBy("node", "a").agg(F.sum("n").alias("shared")), "minhash-met")
+    chains = met.where("node <> a").select("a", F.col("node").alias("b"))
     clusters = written(components(chains), "minhash-clusters")
 
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
     member = written(clusters.join(sizes, "component").join(nodes.select("node", "digest"), "node").select("node", "digest", "component", "size"), "minhash-members")
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    sets = _sets(joinable(member, member.count(), 100).join(texts, "node"), shingle)
+    sets = _sets(joinable(member).join(texts, "node"), shingle)
     compare = _comparison(signer, percent, least_share)
     links = sets.where(F.col("size") <= block).select("component", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("second"), "node", F.col("node").alias("part"), "digest", "shingles").groupBy("component", "i", "j").applyInPandas(compare, LINK)
     large = member.where(F.col("size") > block)
     if not large.isEmpty():
         sets = written(sets.where(F.col("size") > block).select("node", "digest", "component", "shingles").dropDuplicates(["node", "digest"]), "minhash-large")
-        links = links.unionByName(_large(sets, banded, compare, percent, block, rounds))
+        links = links.unionByName(_large(sets, met, compare, percent, block, central))
     linked = components(links.unionByName(by_id))
     rep = nodes.join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("node_component"))
     return (
@@ -202,58 +202,38 @@ def _comparison(signer: Signer, percent: int, least_share: float):
     return compare
 
 
-def _large(sets: DataFrame, banded: DataFrame, compare, percent: int, block: int, rounds: int, central: int = 4) -> DataFrame:
-    """Links of clusters of more than ``block`` nodes; sets: (node, digest, component, shingles)."""
-    ids = sets.select("node", "component").distinct()
-    n = ids.count()
-    shares = banded.join(joinable(ids.select("node"), n, 8), "node")
-    score = shares.join(shares.groupBy("band").agg(F.count("*").alias("shared")), "band").groupBy("node").agg(F.sum("shared").alias("score"))
-    state = written(ids.join(score, "node").select("node", "component", "score", F.col("node").alias("part")), "minhash-parts")
-    found = []
-
-    def outside(state: DataFrame) -> DataFrame:
-        """Nodes that do not lie in the largest part of their cluster."""
-        parts = state.groupBy("component", "part").agg(F.count("*").alias("size"))
-        largest = parts.groupBy("component").agg(F.max(F.struct("size", "part")).alias("most")).select("component", F.col("most.part").alias("main"))
-        return state.join(largest, "component").where("part <> main").drop("main")
+def _large(sets: DataFrame, met: DataFrame, compare, percent: int, block: int, central: int) -> DataFrame:
+    """Links of clusters of more than ``block`` nodes. sets: (node, digest, component, shingles); met: (node, a, shared), with
+    how many nodes a node shares buckets, by the least of each bucket."""
+    ids = written(sets.select("node", "component").distinct(), "minhash-large-ids")
+    score = met.groupBy("node").agg(F.sum("shared").alias("score"))
+    scored = ids.join(score, "node", "left").select("node", "component", F.coalesce("score", F.lit(0)).alias("score"), F.xxhash64(F.lit(3), "node").alias("drawn"))
+    place = lambda *order: F.row_number().over(Window.partitionBy("component").orderBy(*order))  # noqa: E731  with the limit below, few rows of a cluster leave each task
+    best = [scored.select("node", "component", place(*order).alias("n")).where(F.col("n") <= central // 2).drop("n") for order in ((F.desc("score"), "node"), ("drawn", "node"))]
+    chosen = written(best[0].union(best[1]).distinct().join(sets, ["node", "component"]).select(F.col("node").alias("b"), "component", F.col("shingles").alias("y")), "minhash-central")
 
     @python_task
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, x, y = (c.to_pylist() for c in batch.columns)
+            x, y = (c.to_pylist() for c in batch.columns[2:])
             fits = [alike(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64), percent) for s, t in zip(x, y)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
-    for n_round in range(rounds):
-        free = outside(state) if n_round else state
-        best = _top(free, central)
-        chosen = written(best.join(sets, ["node", "component"]).select(F.col("node").alias("b"), "component", F.col("shingles").alias("y")), "minhash-central")
-        count, size = chosen.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("y")), F.lit(0))).first()
-        if not count:
-            break
-        pairs = sets.join(joinable(chosen, 1, size + 32 * count), "component").where("node <> b").select(F.col("node").alias("a"), "b", F.col("shingles").alias("x"), "y")
-        found.append(written(pairs.mapInArrow(verified, LINK), "minhash-central-links"))
-        joined = components(reduce(DataFrame.unionByName, found)).select("node", F.col("component").alias("joined"))
-        state = written(state.join(joined, "node", "left").select("node", "component", "score", F.coalesce("joined", "node").alias("part")), "minhash-parts")
-
-    rest = written(outside(state).select("node", "component"), "minhash-rest")
+    pairs = sets.join(joinable(chosen), "component").where("node <> b").select(F.col("node").alias("a"), "b", F.col("shingles").alias("x"), "y")
+    found = written(pairs.mapInArrow(verified, LINK), "minhash-central-links")
+    joined = components(found).select("node", F.col("component").alias("joined"))
+    state = written(ids.join(joined, "node", "left").select("node", "component", F.coalesce("joined", "node").alias("part")), "minhash-parts")
+
+    parts = state.groupBy("component", "part").agg(F.count("*").alias("size"))
+    largest = parts.groupBy("component").agg(F.max(F.struct("size", "part")).alias("most")).select("component", F.col("most.part").alias("main"))
+    rest = written(state.join(largest, "component").where("part <> main").select("node", "component"), "minhash-rest")
     counts = rest.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("rows")).join(ids.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("columns")), "component")
     all_of = state.select("node", "part").join(sets, "node").join(counts, "component")
     row, column = (F.pmod(F.xxhash64(F.lit(k), "node"), F.col(of)).cast("int") for k, of in ((1, "rows"), (2, "columns")))
     each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     left = all_of.join(rest, ["node", "component"], "left_semi").select("component", row.alias("i"), each("columns").alias("j"), F.lit(False).alias("second"), "node", "part", "digest", "shingles")
     right = all_of.select("component", each("rows").alias("i"), column.alias("j"), F.lit(True).alias("second"), "node", "part", "digest", "shingles")
-    return reduce(DataFrame.unionByName, found, left.unionByName(right).groupBy("component", "i", "j").applyInPandas(compare, LINK))
-
-
-def _top(state: DataFrame, n: int) -> DataFrame:
-    """(node, component) of the ``n`` nodes with the highest scores of each cluster, by partial maxima."""
-    best, left = [], state.select("component", F.struct("score", "node").alias("x"))
-    for _ in range(n):
-        top = written(left.groupBy("component").agg(F.max("x").alias("top")), "minhash-top")
-        best.append(top.select("top.node", "component"))
-        left = left.join(top, "component").where("x <> top").select("component", "x")
-    return reduce(DataFrame.unionByName, best)
+    return found.unionByName(left.unionByName(right).groupBy("component", "i", "j").applyInPandas(compare, LINK))
 
 
 def _sets(rows: DataFrame, shingle: int) -> DataFrame:
