@@ -87,6 +87,12 @@ def test_lines_of_a_mixed_document(spark, sf_dir):
     assert len(right) > 5 and np.mean(right) > 0.9
 
 
+def test_quality_without_labels(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    out = crf.report(docs, labels.limit(0)).collect()
+    assert len(out) == docs.count() and all(r["kept"] != r["base_failed"] for r in out)
+
+
 def test_a_document_labelled_both_ways_is_poor(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(crf, "train", lambda sequences: seen.extend((len(f), label) for f, label in sequences))

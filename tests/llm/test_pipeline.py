@@ -55,3 +55,11 @@ def test_odd_rows(spark, sf_dir):
         assert empty.count() == 0
         docs = stage(spark, docs, sf_dir)
     assert sorted((r["doc_id"] or 0) for r in docs.collect()) == [0, 4, 5]
+
+
+def test_near_dedup_keeps_all_texts_of_an_id(spark, sf_dir):
+    a, b, c = (" ".join(f"{x}{n}" for n in range(30)) for x in "abc")
+    rows = [(1, a, "z"), (1, b, "y"), (1, a, "x"), (2, b, "w"), (3, c, "v"), (None, c, "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = sorted((r["doc_id"] or 0, r["text"][0], r["source"]) for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect())
+    assert kept == [(0, "c", "u"), (1, "a", "x"), (1, "b", "y"), (3, "c", "v")]

@@ -48,6 +48,13 @@ def test_url_edge_rows(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def test_url_columns_that_clash(spark):
+    rows = [(n, f"http://{'a' if n % 2 else 'b'}.com/{'de' if n % 2 else 'fr'}/x{n}", "c", "d", ["e"]) for n in range(30)] + [(99, "http://x.net/de/x1", "c", "d", ["e"])]
+    clash = spark.createDataFrame(rows, "page_id long, url string, mined string, verdict string, tokens array<string>")
+    plain = clash.select("page_id", "url")
+    assert sorted(map(str, urls.judge(clash).collect())) == sorted(map(str, urls.judge(plain).collect()))
+
+
 def test_mining_against_counting(spark):
     rng = random.Random(2)
     rows = [([t for t in "abcdef" if rng.random() < 0.5], rng.choice(["allow", "block"])) for _ in range(150)]

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import joinable, python_task, small_batches
+from .common import joinable, python_task, release, small_batches, written
 
 SPACE = re.compile(r"[\x20\x09-\x0D]")
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -164,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, line_budget: int
     drawn = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30))
     share = F.when(F.col("q") == 0, F.lit(sample * 1.2 / max(1, counts.get(0, 1)))).otherwise(F.lit(sample * 1.2 / max(1, counts.get(1, 1))))
     chosen = known.where(drawn / float(1 << 30) < share).withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(drawn, "doc_id"))).where(F.col("n") <= sample).select("doc_id", "q")
-    rows = docs.select("doc_id", "text").join(joinable(chosen, 2 * sample, 24), "doc_id").select("doc_id", "q", "text", drawn.alias("drawn"))
+    rows = docs.select("doc_id", "text").join(joinable(written(chosen, "quality-sample")), "doc_id").select("doc_id", "q", "text", drawn.alias("drawn"))
 
     @python_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +173,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, line_budget: int
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(data, pa.binary()), batch.column(3)], ["doc_id", "q", "lines", "drawn"])
 
     found = within(line_budget, ((r["drawn"], r["doc_id"], r["q"], bytes(r["lines"])) for r in rows.mapInArrow(run, "doc_id string, q int, lines binary, drawn long").toLocalIterator()))
-    return train([(np.frombuffer(b, np.float32).reshape(-1, N_FEATURES).astype(np.float64), 1 - q) for _, q, b in found if b])
+    field = train([(np.frombuffer(b, np.float32).reshape(-1, N_FEATURES).astype(np.float64), 1 - q) for _, q, b in found if b])
+    del found
+    release()
+    return field
 
 
 def within(budget: int, rows: Iterable[tuple[int, str, int, bytes]]) -> list[tuple[str, int, bytes]]:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import joinable, python_task, small_batches
+from .common import joinable, python_task, release, small_batches, written
 
 LETTER = regex.compile(r"\p{L}")
 #: ASCII bytes other than letters become spaces; lower() has already run, bytes over 0x7F stay.
@@ -167,7 +167,7 @@ def fit(docs: DataFrame, learn: Column, buckets: int = 1 << 16, per_label: int =
     shares = docs.sparkSession.createDataFrame([(r["l"], min(1.0, (per_label + 6 * per_label**0.5 + 20) / r["count"])) for r in counts], usable.select("l").schema.add("share", "double"))
     near = usable.select("i", "l", drawn.alias("h")).join(F.broadcast(shares), "l").where(F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.col("share"))  # a row for each label
     chosen = near.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy(F.pmod("h", F.lit(1 << 30)), "i"))).where(F.col("n") <= per_label).select("i").distinct()
-    sample = usable.join(joinable(chosen, per_label * len(labels), 24), "i", "left_semi").select("i", "l", "t")
+    sample = usable.join(joinable(written(chosen, "language-sample")), "i", "left_semi").select("i", "l", "t")
 
     @python_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +184,10 @@ def fit(docs: DataFrame, learn: Column, buckets: int = 1 << 16, per_label: int =
         return nothing
     features = [(np.frombuffer(r["at"], np.uint32), np.frombuffer(r["share"], np.float32)) for r in rows]
     number = {label: n for n, label in enumerate(labels)}
-    return train(features, np.array([number[r["l"]] for r in rows]), labels, buckets)
+    model = train(features, np.array([number[r["l"]] for r in rows]), labels, buckets)
+    del rows, features
+    release()
+    return model
 
 
 def hash_of(text: str) -> int:

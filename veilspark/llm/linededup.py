@@ -67,11 +67,11 @@ def decisions(docs: DataFrame, least_words: int, id_col: str, text_col: str) ->
     distinct = written(distinct, "lines-distinct")  # doc, th, pos are one place only where c = 1
     again = distinct.where("c > 1").select("h1", "h2")
     places = lines.select("doc", "th", "pos", "h1", "h2")
-    repeated = written(places.join(joinable(again, again.count(), 16), ["h1", "h2"]), "lines-repeated")
+    repeated = written(places.join(joinable(again), ["h1", "h2"]), "lines-repeated")
     firsts = written(repeated.groupBy("h1", "h2").agg(F.min(F.struct("doc", "th", "pos")).alias("first")), "lines-firsts")
-    firsts = joinable(firsts, firsts.count(), 48)
+    firsts = joinable(firsts)
     near = _near(docs, distinct, firsts, id_col, text_col)
-    near = joinable(near, near.count(), 16)
+    near = joinable(near)
 
     exact = repeated.join(firsts, ["h1", "h2"]).where(~F.struct("doc", "th", "pos").eqNullSafe(F.col("first"))).join(near, ["h1", "h2"], "left_anti")
     gone = places.join(near, ["h1", "h2"]).select("doc", "th", "pos", F.lit(True).alias("near"))
@@ -89,7 +89,7 @@ def _near(docs: DataFrame, distinct: DataFrame, firsts: DataFrame, id_col: str,
     live = written(live.orderBy("first").select("h1", "h2", "bits", "first", F.monotonically_increasing_id().alias("line")), "lines-live")
 
     spots = live.groupBy(F.col("first.doc").alias("doc"), F.col("first.th").alias("th")).agg(F.collect_list(F.struct("line", "bits", "first.pos")).alias("at"))  # lines of one document
-    wanted = joinable(spots, live.count(), 48)
+    wanted = joinable(spots)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(wanted, F.col("id").eqNullSafe(F.col("doc")) & (F.xxhash64("t") == F.col("th")))
     split = F.transform(F.array(F.split("t", "\n", -1)), lambda rows: F.transform("at", lambda a: F.struct(a["line"].alias("line"), a["bits"].alias("bits"), F.get(rows, a["pos"]).alias("text"))))
     own = texts.select(F.explode(F.flatten(split)).alias("x")).select("x.line", "x.bits", F.split(normal(F.col("x.text")), " ").alias("words"))
@@ -100,17 +100,16 @@ def _near(docs: DataFrame, distinct: DataFrame, firsts: DataFrame, id_col: str,
     place = written(members.groupBy("v", "i").agg(F.min("line").alias("least"), F.max("line").alias("most")), "lines-places")
     groups = place.groupBy("v").agg(F.min(F.when(F.col("i") < 0, F.col("least"))).alias("whole"), F.min(F.when(F.col("i") >= 0, F.col("least"))).alias("cut"), F.min("least").alias("a"), F.max("most").alias("z"))
     groups = written(groups.where("a <> z").select("v", "whole", "cut"), "lines-groups")
-    met = members.join(joinable(groups, groups.count(), 24), "v")
+    met = members.join(joinable(groups), "v")
     ties = place.where("i >= 0 and least <> most").select("v", "i", "least")
-    replaced = met.where("i >= 0").join(joinable(ties, ties.count(), 20), ["v", "i"]).where("least < line").select("line", F.col("least").alias("partner"))
+    replaced = met.where("i >= 0").join(joinable(ties), ["v", "i"]).where("least < line").select("line", F.col("least").alias("partner"))
     added = met.select("line", F.when(F.col("i") < 0, F.col("cut")).otherwise(F.col("whole")).alias("partner")).where("partner < line")
     pairs = written(replaced.unionByName(added).groupBy("line").agg(F.min("partner").alias("partner")), "lines-pairs")
 
-    n = pairs.count()
-    some = own.select("line", "words").join(joinable(pairs.select("line").union(pairs.select("partner")).distinct(), 2 * n, 8), "line", "left_semi")
+    some = own.select("line", "words").join(joinable(pairs.select("line").union(pairs.select("partner")).distinct()), "line", "left_semi")
     checked = pairs.join(some.select("line", F.col("words").alias("a")), "line").join(some.select(F.col("line").alias("partner"), F.col("words").alias("b")), "partner")
-    close = checked.where(within_one("a", "b")).select("line")
-    return written(live.select("h1", "h2", "line").join(joinable(close, n, 8), "line", "left_semi").select("h1", "h2"), "lines-near")
+    close = written(checked.where(within_one("a", "b")).select("line"), "lines-close")
+    return written(live.select("h1", "h2", "line").join(joinable(close), "line", "left_semi").select("h1", "h2"), "lines-near")
 
 
 def _variants(own: DataFrame) -> DataFrame:
@@ -160,8 +159,7 @@ def _marked(docs: DataFrame, least_words: int, id_col: str, text_col: str) -> Da
     sparse = words.groupBy("doc", "th").agg(F.max("w").alias("last"), *(F.map_from_entries(F.collect_list(F.struct("w", c))).alias(c) for c in ("e", "r")))
     dense = lambda c: F.transform(F.sequence(F.lit(0), F.col("last")), lambda w: F.coalesce(F.try_element_at(F.col(c), w), zero))
     per_doc = sparse.select(F.col("doc").alias(f"{NEW}doc"), F.col("th").alias(f"{NEW}th"), dense("e").alias(f"{NEW}exact"), dense("r").alias(f"{NEW}near"))
-    size = words.agg(F.count("*"), F.sum("w")).first()
-    per_doc = joinable(per_doc, size[0] + (size[1] or 0), 64)
+    per_doc = joinable(per_doc)
     return docs.join(per_doc, docs[id_col].eqNullSafe(F.col(f"{NEW}doc")) & (F.xxhash64(docs[text_col]) == F.col(f"{NEW}th")), "left")
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import joinable, python_task, small_batches, word_hashes
+from .common import joinable, python_task, release, small_batches, word_hashes, written
 
 #: Bytes outside letters become spaces, A-Z lower case; lower() has already handled the rest.
 LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("junk
     share = F.when(last == 1, F.lit(half * 1.2 / max(1, counts.get(1, 1)))).otherwise(F.lit(half * 1.2 / max(1, counts.get(0, 1))))
     chosen = known.where(drawn / float(1 << 30) < share).withColumn("n", F.row_number().over(Window.partitionBy(last).orderBy(drawn, "doc_id"))).where(F.col("n") <= half).drop("n")
     names = [f"y{k}" for k in range(len(categories))]
-    rows = docs.select("doc_id", "text").join(joinable(chosen, sample, 40), "doc_id").select("doc_id", "text", *names)
+    rows = docs.select("doc_id", "text").join(joinable(written(chosen, "toxicity-sample")), "doc_id").select("doc_id", "text", *names)
 
     @python_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +162,10 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("junk
 
     schema = ", ".join(["doc_id string", "at binary", *(f"{n} int" for n in names)])
     found = sorted((tuple(r) for r in rows.mapInArrow(run, schema).toLocalIterator() if r["at"]), key=lambda r: (hash_order(r[0]), r[0], bytes(r[1])))
-    return train([np.frombuffer(r[1], np.int32).astype(np.int64) for r in found], np.array([r[2:] for r in found], int).reshape(-1, len(categories)), list(categories), buckets)
+    chain = train([np.frombuffer(r[1], np.int32).astype(np.int64) for r in found], np.array([r[2:] for r in found], int).reshape(-1, len(categories)), list(categories), buckets)
+    del found
+    release()
+    return chain
 
 
 def hash_order(name: str) -> int:
