@@ -41,12 +41,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
     gone = written(minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "near-gone")
-    left = docs.join(joinable(gone, gone.count(), 24), "doc_id", "left_anti").select(*(f"`{n}`" for n in docs.columns))
+    left = docs.join(joinable(gone), "doc_id", "left_anti").select(*(f"`{n}`" for n in docs.columns))
     again = written(left.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated-ids")
-    n = again.count()
-    if not n:
+    if again.isEmpty():
         return left
-    small = joinable(again, n, 24)
+    small = joinable(again)
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     once = left.join(small, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
     return left.join(small, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns)).unionByName(once)
