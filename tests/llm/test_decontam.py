@@ -24,11 +24,12 @@ def test_random_texts_short_items_and_shards(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     expected = brute.decontamination(rows, items, window=6)
     assert result(decontam.report(docs, bench, window=6)) == expected
-    assert result(decontam.report(docs, bench, window=6, shard_bytes=40)) == expected
+    assert result(decontam.report(docs, bench, window=6, shard_bytes=150)) == expected
     clean = {r["doc_id"]: r["text"] for r in decontam.decontaminate(docs, bench, window=6).collect()}
     assert set(clean) == {i for i, v in expected.items() if not v[4]}
     assert all(clean[i] == t for i, t in rows if expected[i][1] == 0)
     assert decontam.decontaminate(docs, bench, window=6).columns == docs.columns
+    assert {r["doc_id"]: r["text"] for r in decontam.decontaminate(docs, bench, window=6, shard_bytes=400).collect()} == clean
 
 
 def test_no_items_and_no_documents(spark):

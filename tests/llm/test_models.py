@@ -266,6 +266,8 @@ def test_several_labels_for_a_document(spark):
     twice = once.unionByName(spark.createDataFrame([(n, 1, 0) for n in range(60)], once.schema)).unionByName(spark.createDataFrame([(0, 1, None)], once.schema))
     assert sorted(toxicity.report(docs, twice).collect()) == sorted(toxicity.report(docs, once).collect())
     assert not any(r["toxic"] for r in toxicity.report(docs, once.limit(0)).collect())
+    more = once.selectExpr("*", "1000 + doc_id as n_chars", "'x' as text", "cast(null as int) as later", "0 as never")
+    assert sorted(toxicity.report(docs, more).collect()) == sorted(toxicity.report(docs, once).collect())
 
 
 def test_chain_learns_from_rows_and_earlier_categories():

@@ -197,8 +197,12 @@ def predict(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str =
 def report(docs: DataFrame, labels: DataFrame, **kwargs) -> DataFrame:
     """A row for each document: doc_id, a probability p_... for each category, toxic.
 
-    Categories are the label table's 0/1 columns, ``toxic`` last; ``quality`` stands in turned round, as ``junk``.
+    Categories are the label table's 0/1 columns, ``toxic`` last; ``quality`` stands in turned round, as ``junk``. Other
+    columns that hold numbers besides 0 and 1, or no 1, are none; a null in a further category counts as 0.
     """
-    finer = [c for c, kind in labels.dtypes if c not in ("doc_id", "quality", "toxic", "junk") and kind in ("tinyint", "smallint", "int", "bigint", "boolean")]
-    known = labels.select("doc_id", (1 - F.col("quality")).alias("junk"), *finer, "toxic")
+    others = [c for c, kind in labels.dtypes if c not in ("doc_id", "quality", "toxic", "junk") and kind in ("tinyint", "smallint", "int", "bigint", "boolean")]
+    value = {c: F.coalesce(F.col(f"`{c}`").cast("int"), F.lit(0)) for c in others}
+    fits = labels.agg(F.lit(0), *(F.min((v.isin(0, 1)).cast("int")) + F.max((v == 1).cast("int")) for v in value.values())).first()
+    finer = [c for c, fit_sum in zip(others, fits[1:]) if fit_sum == 2]
+    known = labels.select("doc_id", (1 - F.col("quality")).alias("junk"), *(value[c].alias(c) for c in finer), "toxic")
     return predict(docs.select("doc_id", "text"), fit(docs, known, ("junk", *finer, "toxic"), **kwargs)).drop("text")
