@@ -79,7 +79,6 @@ def test_dump_and_restore_through_the_target(spark, database, tmp_path):
     dump = jobs.dump(spark, database, config, store, "people")
     assert store.manifest(dump)["pg_version"].startswith("10.")
     target = jobs.DatabaseTarget(spark, url("copy"), parts=2, batch=7)
-    target.database.execute(['CREATE SCHEMA "public"', 'CREATE SCHEMA "hr"'])
     done = jobs.restore_in_order(spark, store, dump, target)
     assert done.errors == {}
     assert done.rows == {"team": 3, "person": 20, "hr.person": 4, "badge": 40, "swipe": 30} and not done.errors and not any(done.orphans.values())
@@ -108,7 +107,6 @@ def test_a_row_too_many_is_an_error(spark, database, tmp_path):
     store = Store(spark, f"file://{tmp_path}")
     dump = jobs.dump(spark, database, configs.from_dict({"include_tables": ["team"]}).with_defaults(), store)
     target = jobs.DatabaseTarget(spark, url("twice"))
-    target.database.execute(['CREATE SCHEMA "public"'])
     counts = iter([0, 4])
     target._count = lambda table: next(counts)
     done = jobs.restore_in_order(spark, store, dump, target)
@@ -126,7 +124,6 @@ def test_command_line(spark, database, tmp_path, capsys):
     store = Store(spark, f"file://{tmp_path}/dumps")
     made = store.manifest(dump)
     assert made["description"] == "a few" and {t["name"]: t["row_count"] for t in made["tables"]} == {"swipe": 2, "badge": 1, "person": 3, "team": 2}
-    jobs.DatabaseTarget(spark, url("few")).database.execute(['CREATE SCHEMA "public"'])
     assert cli.main([*base, "restore-in-order", dump, "--target-dsn", url("few")["url"], "--no-disable-triggers"], spark) == 0
     assert "8 rows in 4 tables" in capsys.readouterr().out
     assert cli.main([*base, "restore", dump, "--target-dsn", url("few")["url"], "--drop-schema"], spark) == 0
@@ -148,6 +145,7 @@ def test_ddl_text(spark):
     assert stores.ddl(text) == [
         'CREATE TABLE "s"."u" ("id" bigint NOT NULL, "name" text, "at" timestamp without time zone)',
         'CREATE TABLE "public"."t" ("id" bigint NOT NULL, "name" text, "at" timestamp without time zone)',
+        'ALTER TABLE "public"."t" ADD UNIQUE ("id")',
         'ALTER TABLE "s"."u" ADD CONSTRAINT "k" FOREIGN KEY ("id") REFERENCES "public"."t" ("id")',
     ]
     assert stores.schema_of(text)["t"] == df.schema

@@ -19,7 +19,7 @@ from veilspark.sources import shared
 from veilspark.sources import store as stores
 from veilspark.sources.catalog import JdbcSource, Source
 from veilspark.sources.config import Config
-from veilspark.sources.database import Database, ForeignKey, key_ddl, quoted, table_ddl
+from veilspark.sources.database import Database, ForeignKey, keys_ddl, portable, quoted, table_ddl
 from veilspark.sources.store import Store
 
 from .mask import check_masks, mask
@@ -169,7 +169,7 @@ class FolderTarget:
 class DatabaseTarget:
     """Tables of a database, loaded by Spark's JDBC writer, ``parts`` connections at once.
 
-    Tables that are missing are made from the dump's schema; their foreign keys follow once all rows are in. Rows are
+    Tables that are missing are made from the dump's schema; foreign keys between these follow once all rows are in. Rows are
     appended. A part whose task is lost after its commit is written again, so the rows are counted after each table: more
     or fewer than were to come is an error.
     """
@@ -184,7 +184,9 @@ class DatabaseTarget:
         tables, _ = stores.info_in(schema)
         there = self.database.tables()
         self.made = {t for t in tables if t not in there}
-        self.database.execute(sql for t in sorted(self.made) for sql in table_ddl(quoted, t, tables[t]))
+        own = (lambda info: info) if self.database.is_postgres else portable
+        schemas = {t.rpartition(".")[0] or "public" for t in self.made} - self.database.schema_names()
+        self.database.execute([*(f'CREATE SCHEMA "{s}"' for s in sorted(schemas)), *(sql for t in sorted(self.made) for sql in table_ddl(quoted, t, own(tables[t])))])
 
     def read(self, table: str) -> DataFrame:
         return self.spark.read.format("jdbc").options(**self.options, dbtable=quoted(table)).load()
@@ -206,7 +208,7 @@ class DatabaseTarget:
 
     def finish(self, schema: str) -> None:
         tables, keys = stores.info_in(schema)
-        self.database.execute(key_ddl(quoted, k) for k in keys if k.from_table in self.made and k.to_table in tables)
+        self.database.execute(keys_ddl(quoted, {t: i for t, i in tables.items() if t in self.made}, keys))
 
 
 Target = FolderTarget | DatabaseTarget

@@ -17,6 +17,8 @@ from .config import full_name
 #: Driver classes by the beginning of the URL.
 DRIVERS = {"jdbc:postgresql:": "org.postgresql.Driver", "jdbc:derby:": "org.apache.derby.jdbc.EmbeddedDriver", "jdbc:h2:": "org.h2.Driver", "jdbc:mysql:": "com.mysql.cj.jdbc.Driver"}
 SYSTEM_SCHEMAS = {"pg_catalog", "information_schema", "sys", "sysibm", "syscat", "sysfun", "sysproc", "sysstat", "syscs_diag", "syscs_util", "nullid", "sqlj"}
+#: For databases other than PostgreSQL, types of the SQL standard in place of PostgreSQL's own.
+PORTABLE = {"text": "varchar(32672)", "bytea": "blob", "timestamp without time zone": "timestamp", "timestamp with time zone": "timestamp", "timestamptz": "timestamp", "json": "clob", "jsonb": "clob", "uuid": "char(36)", "bool": "boolean"}
 #: Types whose length or scale is part of their name.
 SIZED, SCALED = {"varchar", "char", "bpchar", "character varying", "character", "varbit"}, {"numeric", "decimal"}
 
@@ -132,6 +134,10 @@ class Database:
         wanted = [(s or "", t) for s, t in sorted(found, key=lambda r: (r[0] or "", r[1])) if (s or "").lower() not in SYSTEM_SCHEMAS and not (s or "").startswith("pg_toast") and (self.schemas is None or s in self.schemas)]
         return {full_name(s, t): (s, t) for s, t in wanted}
 
+    def schema_names(self) -> set[str]:
+        with self._connected() as connection:
+            return {s for (s,) in self._rows(connection.getMetaData().getSchemas(), "TABLE_SCHEM")}
+
     def _kinds(self, *names: str):
         kinds = self.spark.sparkContext._gateway.new_array(self.spark._jvm.java.lang.String, len(names))
         for n, name in enumerate(names):
@@ -191,6 +197,12 @@ class Database:
                 self.execute([f"ALTER TABLE {quoted(table)} ENABLE TRIGGER ALL"])
 
 
+def portable(info: TableInfo) -> TableInfo:
+    """The same table in the SQL standard's types; arrays as text."""
+    kind = lambda t: "clob" if t.endswith("[]") else PORTABLE.get(t, t)
+    return TableInfo(tuple(ColumnInfo(c.name, kind(c.type), c.nullable, c.default) for c in info.columns), info.primary_key, info.indexes)
+
+
 def table_ddl(quote, table: str, info: TableInfo) -> list[str]:
     """CREATE TABLE with its primary key, then its indexes."""
     q = lambda c: '"' + c.replace('"', '""') + '"'
@@ -201,6 +213,14 @@ def table_ddl(quote, table: str, info: TableInfo) -> list[str]:
     return [f"CREATE TABLE {quote(table)} ({', '.join(lines)})", *indexes]
 
 
-def key_ddl(quote, key: ForeignKey) -> str:
+def keys_ddl(quote, tables: dict[str, TableInfo], keys: Iterable[ForeignKey]) -> list[str]:
+    """The foreign keys between these tables, after a UNIQUE where what a key names is not known to be so."""
     q = lambda cs: ", ".join('"' + c.replace('"', '""') + '"' for c in cs)
-    return f'ALTER TABLE {quote(key.from_table)} ADD CONSTRAINT "{key.name}" FOREIGN KEY ({q(key.from_columns)}) REFERENCES {quote(key.to_table)} ({q(key.to_columns)})'
+    out, unique = [], {(t, frozenset(cs)) for t, i in tables.items() for cs in (i.primary_key, *(cs for _, u, cs in i.indexes if u))}
+    for k in keys:
+        if k.from_table in tables and k.to_table in tables:
+            if (k.to_table, frozenset(k.to_columns)) not in unique:
+                unique.add((k.to_table, frozenset(k.to_columns)))
+                out.append(f"ALTER TABLE {quote(k.to_table)} ADD UNIQUE ({q(k.to_columns)})")
+            out.append(f'ALTER TABLE {quote(k.from_table)} ADD CONSTRAINT "{k.name}" FOREIGN KEY ({q(k.from_columns)}) REFERENCES {quote(k.to_table)} ({q(k.to_columns)})')
+    return out

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from veilspark.functions.pgtypes import pg_type
 
-from .database import ColumnInfo, ForeignKey, TableInfo, key_ddl, quoted, table_ddl
+from .database import ColumnInfo, ForeignKey, TableInfo, keys_ddl, quoted, table_ddl
 
 TABLE = "STRUCT<schema STRING, name STRING, row_count BIGINT, columns ARRAY<STRING>, column_types ARRAY<STRING>, transformers MAP<STRING,STRING>, data_file STRING, compressed_size_bytes BIGINT, dump_duration_ns BIGINT, original_size_bytes BIGINT>"
 MANIFEST = f"id STRING, created_at TIMESTAMP, source_db STRING, tables ARRAY<{TABLE}>, schema_file STRING, duration_ns BIGINT, description STRING, version STRING, pg_version STRING, total_rows BIGINT, total_size_bytes BIGINT, tags ARRAY<STRING>, config_snapshot STRING"
@@ -139,8 +139,7 @@ def info_in(text: str) -> tuple[dict[str, TableInfo], list[ForeignKey]]:
 def ddl(text: str, quote=quoted) -> list[str]:
     """Statements that make the tables of a schema file, and then their foreign keys."""
     tables, keys = info_in(text)
-    made = [sql for t, info in tables.items() for sql in table_ddl(quote, t, info)]
-    return made + [key_ddl(quote, k) for k in keys if k.from_table in tables and k.to_table in tables]
+    return [sql for t, info in tables.items() for sql in table_ddl(quote, t, info)] + keys_ddl(quote, tables, keys)
 
 
 def schema_of(text: str) -> dict[str, T.StructType]:
