@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import joinable, python_task, small_batches, word_hashes, words_of, written
+from .common import joinable, python_task, scratch, shared_dir, small_batches, word_hashes, words_of, written
 from .components import components
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -152,32 +152,39 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, perms:
     signer = Signer(perms, bands, rows)
     t = percent / 100
     least_share = max(0.0, t - spread * (t * (1 - t) / (2 * perms)) ** 0.5)
-    found = written(features(docs, shingle, signer, id_col, text_col), "minhash-features")
-    named = found.where("digest is not null and doc_id is not null")
-    nodes = written(named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n")), "minhash-nodes")
-    # rows with one id but several texts: the id joins them
-    same_id = named.groupBy("doc_id").agg(F.min("digest").alias("d1"), F.max("digest").alias("d2")).where("d1 <> d2").select("doc_id")
-    by_id = named.join(same_id, "doc_id", "left_semi").select("doc_id", "digest").join(nodes.select("digest", "node"), "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-
-    firsts = named.join(nodes.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
-    banded = written(firsts, "minhash-bands")  # a repeated row repeats its bands, which does no harm
-    heads = banded.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n")).where("a <> z").select("band", "a", "n")
-    met = written(banded.join(heads, "band").groupBy("node", "a").agg(F.sum("n").alias("shared")), "minhash-met")
-    chains = met.where("node <> a").select("a", F.col("node").alias("b"))
-    clusters = written(components(chains), "minhash-clusters")
-
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
-    member = written(clusters.join(sizes, "component").join(nodes.select("node", "digest"), "node").select("node", "digest", "component", "size"), "minhash-members")
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    sets = _sets(joinable(member).join(texts, "node"), shingle)
-    compare = _comparison(signer, percent, least_share)
-    links = sets.where(F.col("size") <= block).select("component", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("second"), "node", F.col("node").alias("part"), "digest", "shingles").groupBy("component", "i", "j").applyInPandas(compare, LINK)
-    large = member.where(F.col("size") > block)
-    if not large.isEmpty():
-        sets = written(sets.where(F.col("size") > block).select("node", "digest", "component", "shingles").dropDuplicates(["node", "digest"]), "minhash-large")
-        links = links.unionByName(_large(sets, met, compare, percent, block, central))
-    linked = components(links.unionByName(by_id))
-    rep = nodes.join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("node_component"))
+    with scratch(spark) as kept:  # the tables on the way go
+        kept.append(path := shared_dir(spark, "minhash-features"))
+        found = features(docs, shingle, signer, id_col, text_col)
+        found.write.parquet(path)
+        found = spark.read.schema(found.schema).parquet(path)
+        named = found.where("digest is not null and doc_id is not null")
+        nodes = written(named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n")), "minhash-nodes")
+        # rows with one id but several texts: the id joins them
+        same_id = named.groupBy("doc_id").agg(F.min("digest").alias("d1"), F.max("digest").alias("d2")).where("d1 <> d2").select("doc_id")
+        by_id = named.join(same_id, "doc_id", "left_semi").select("doc_id", "digest").join(nodes.select("digest", "node"), "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+
+        firsts = named.join(nodes.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
+        banded = written(firsts, "minhash-bands")  # a repeated row repeats its bands, which does no harm
+        heads = banded.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n")).where("a <> z").select("band", "a", "n")
+        met = written(banded.join(heads, "band").groupBy("node", "a").agg(F.sum("n").alias("shared")), "minhash-met")
+        chains = met.where("node <> a").select("a", F.col("node").alias("b"))
+        clusters = written(components(chains), "minhash-clusters")
+
+        sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
+        member = written(clusters.join(sizes, "component").join(nodes.select("node", "digest"), "node").select("node", "digest", "component", "size"), "minhash-members")
+        texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
+        sets = _sets(joinable(member).join(texts, "node"), shingle)
+        compare = _comparison(signer, percent, least_share)
+        links = sets.where(F.col("size") <= block).select("component", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("second"), "node", F.col("node").alias("part"), "digest", "shingles").groupBy("component", "i", "j").applyInPandas(compare, LINK)
+        large = member.where(F.col("size") > block)
+        if not large.isEmpty():
+            sets = written(sets.where(F.col("size") > block).select("node", "digest", "component", "shingles").dropDuplicates(["node", "digest"]), "minhash-large")
+            links = links.unionByName(_large(sets, met, compare, percent, block, central))
+        linked = components(links.unionByName(by_id))
+        rep = nodes.join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("node_component"))
+        kept.append(path := shared_dir(spark, "minhash-result"))
+        rep.write.parquet(path)
+    rep = spark.read.schema(rep.schema).parquet(path)
     return (
         found.select("doc_id", "n_shingles", "digest")
         .join(rep, "digest", "left")
