@@ -21,6 +21,8 @@ def test_unlearned_languages_and_gibberish_are_rejected(spark, sf_dir):
     model = langid.fit(docs, langid.F.lit(True))
     odd = spark.createDataFrame([(n, t) for n, t in enumerate(UNLEARNED + noise)], "doc_id long, text string")
     assert [r["rejected"] for r in langid.predict(odd, model).collect()] == [True] * 7
+    # each bound alone is of use: neither lies near chance
+    assert model.least_score > 1.2 / len(model.labels) and model.least_known > 0.8
     clean = [r["rejected"] for r in langid.predict(docs.where("text is not null"), model).collect()]
     assert sum(clean) <= 0.01 * len(clean)
 

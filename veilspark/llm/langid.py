@@ -4,11 +4,13 @@ A text's subwords are the byte n-grams of its lower-cased letters, with one spac
 characters; each is hashed to a row of an embedding table. The rows' mean goes through a linear softmax. Both
 are trained together by stochastic gradient descent in numpy. Training rows are a sample of at most
 ``per_label`` texts for each label, lowest hash of the id first; a fifth of them, near copies together, is held back to
-calibrate: a temperature makes the scores honest, and a text is rejected if its score lies below that which all but one
-in ``1 / reject_share`` of the held-back texts reach. A softmax is sure of some texts in no learned language as
-well, so a text is also rejected if the share of its subwords in known buckets - those which hold all but
-``rare_share`` of the subwords learned from - lies below the bound found in the same way. Neither bound lies above
-what all but one in ``1 / reject_share`` of the whole sample reach, as few held-back texts tell little of the rare ones.
+calibrate: a temperature makes the scores honest, and a text is rejected if its score lies below a bound that but one in
+``1 / reject_share`` clean texts should miss. A softmax is sure of some texts in no learned language as well, so a text
+is also rejected if the share of its subwords in known buckets - those which hold all but ``rare_share`` of the
+subwords learned from - lies below a bound found in the same way. A sample tells such rare cases only by its tail: the
+bound carries the distance between its lowest hundredth and thousandth on, as a tail that falls exponentially does, but
+not below nine tenths of the sample's least value, where the tail falls more slowly.
+Neither bound lies above that of the whole sample, as few held-back texts tell little of the rare ones.
 
 Prediction is map-only over whole texts. Null texts and texts without a letter are ``und`` with score 0 and
 rejected. Ties in the sample are broken by the id; repeated rows count each time; null labels are not learned.
@@ -86,7 +88,7 @@ class Model:
         return self.labels[best], float(min(1.0, p[best])), bool(p[best] < self.least_score or known < self.least_known)
 
 
-def train(features: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, labels: list[str], buckets: int, dim: int = 16, epochs: int = 6, rate: float = 0.5, reject_share: float = 0.001, rare_share: float = 0.001, seed: int = 7) -> Model:
+def train(features: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, labels: list[str], buckets: int, dim: int = 16, epochs: int = 6, rate: float = 0.5, reject_share: float = 1e-5, rare_share: float = 0.001, seed: int = 7) -> Model:
     """features: for each text its distinct buckets and their shares of its subwords."""
     rng = np.random.default_rng(seed)
     held = held_back([at for at, _ in features], buckets)
@@ -130,12 +132,19 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, la
 
     def least(values: np.ndarray) -> float:
         """A thousandth lower, as the sums of shares here and the means of prediction round differently."""
-        return 0.999 * min(float(np.quantile(v, reject_share, method="lower")) for v in (values[check], values))
+        return 0.999 * min(tail(values[check], reject_share), tail(values, reject_share))
 
     model.temperature, model.least_score, model.least_known = temperature, least(soft(temperature, logits).max(1)), least(every[:, -1])
     return model
 
 
+def tail(values: np.ndarray, share: float, least_rows: int = 4) -> float:
+    """The value that a ``share`` of all misses, carried on from the lowest quantile that ``least_rows`` values support."""
+    known = min(0.1, max(share, least_rows / len(values)))
+    low, high = np.quantile(values, [known, 10 * known], method="lower")
+    return float(max(low - (high - low) * max(0.0, np.log10(known / share)), 0.9 * values.min()))
+
+
 def held_back(buckets_of: list[np.ndarray], buckets: int, common: float = 0.05) -> np.ndarray:
     """Marks about a fifth of the texts, by the least hash of the buckets that few texts have: near copies share most of
     these and so fall on the same side."""
