@@ -84,3 +84,21 @@ def test_stream(spark, tmp_path):
     assert {r["e"] for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {"ca978112@b", None}
     with pytest.raises(ValueError):
         mask_stream(spark.range(1), {})
+
+
+def test_preview_shows_old_and_new_of_one_reading(spark):
+    """The rows of this frame differ each time that they are read."""
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from veilspark.operators import validate
+
+    df = spark.range(40).select(F.uuid().substr(1, 20).alias("x"), F.when(F.rand() < 0.5, "same").alias("y"))
+    found = validate.preview(df, "t", {"x": "hash-sha256", "y": "preserve"}, rows=30).collect()
+    assert len(found) == 30 and {r["column"] for r in found} == {"x"}
+    for r in found:
+        old, new = r["message"].partition(": ")[2].removesuffix(" by hash-sha256").split(" becomes ")
+        assert new == hashlib.sha256(old.encode()).hexdigest()[:27] + "..."
+    drawn = validate.preview(spark.range(5).withColumnRenamed("id", "n"), "t", {"n": "random-int"}).collect()
+    assert 4 <= len(drawn) <= 5

@@ -118,12 +118,13 @@ def preview(df: DataFrame, table: str, rules: dict[str, str], rows: int = 5, ord
     bound = [(f.name, m) for f, m in zip(df.schema.fields, bind(df.columns, rules)) if m is not None]
     if not bound:
         return findings(df.sparkSession, [])
-    sample = (df.orderBy(*order) if order else df).limit(rows).select(F.monotonically_increasing_id().alias("n"), *(f"`{f}`" for f, _ in bound))  # one partition after limit
+    number = "row" + "_" * max(map(len, df.columns))  # a name that no column has
+    sample = (df.orderBy(*order) if order else df).limit(rows).select(F.monotonically_increasing_id().alias(number), *(f"`{f}`" for f, _ in bound))  # one partition after limit
     fields = {f.name: f for f in df.schema.fields}
     text = lambda c, name: F.coalesce(pgtypes.encode(c, fields[name].dataType), F.lit("\\N"))
     # old and new of a row come from one reading of it
     cells = [F.struct(F.lit(name).alias("column"), F.lit(m.name).alias("mask"), text(F.col(f"`{name}`"), name).alias("old"), text(masked(fields[name], m), name).alias("new")) for name, m in bound]
-    changed = sample.select("n", F.inline(F.array(*cells))).where(~F.col("old").eqNullSafe(F.col("new")))
+    changed = sample.select(F.col(number).alias("n"), F.inline(F.array(*cells))).where(~F.col("old").eqNullSafe(F.col("new")))
     message = F.concat(F.lit("row "), (F.col("n") + 1).cast("string"), F.lit(": "), shown(F.col("old")), F.lit(" becomes "), shown(F.col("new")), F.lit(" by "), "mask")
     return changed.withColumn("table", F.lit(table)).select(*_finding(WARNING, "diff", message, F.col("column")))
 
