@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime
 from functools import reduce
 
@@ -528,31 +531,36 @@ def restore_ordered_counts(spark, sf_dir):
     return spark.createDataFrame(rows, "table string, layer long, rows long, orphans long")
 
 
-def _database(spark: SparkSession) -> jobs.DatabaseTarget:
-    """An empty database inside this process, of the engine that comes with Spark: for a session on one machine only."""
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("this query's database lives inside one process; give a real one's address on a cluster")
-    return jobs.DatabaseTarget(spark, {"url": f"jdbc:derby:memory:q{uuid.uuid4().hex};create=true"}, parts=2)
+@contextmanager
+def _database(spark: SparkSession) -> Iterator[jobs.DatabaseTarget]:
+    """An empty database of the engine that comes with Spark, in the driver's process and on its disk; gone afterwards."""
+    path = f"{spark.sparkContext._temp_dir}/database-{uuid.uuid4().hex}"
+    target = jobs.DatabaseTarget(spark, {"url": f"jdbc:derby:directory:{path};create=true"}, parts=2)
+    try:
+        yield target
+    finally:
+        target.database.end()
+        shutil.rmtree(path, ignore_errors=True)
 
 
 @query(f"SELECT c_custkey, {sql_name('c_name')} AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def restore_into_database(spark, sf_dir):
     """Through JDBC into tables made from the dump's schema file, and read back."""
     store, dump = _dumped(spark, sf_dir)
-    target = _database(spark)
-    jobs.restore(spark, store, dump, target)
-    return target.read("customer")
+    with _database(spark) as target:
+        jobs.restore(spark, store, dump, target)
+        return target.kept("customer")
 
 
 @query("SELECT 'region' AS \"table\", 0::BIGINT AS layer, (SELECT count(*) FROM region) AS rows, 0::BIGINT AS orphans, NULL AS parent UNION ALL SELECT 'nation', 1, (SELECT count(*) FROM nation), 0, 'region' UNION ALL SELECT 'customer', 2, (SELECT count(*) FROM customer), 0, 'nation' UNION ALL SELECT 'supplier', 2, (SELECT count(*) FROM supplier), 0, 'nation'")
 def restore_database_in_order(spark, sf_dir):
     """In the order of the dump's keys, which the target has afterwards; parents as the target tells them."""
     store, dump = _dumped(spark, sf_dir)
-    target = _database(spark)
-    done = jobs.restore_in_order(spark, store, dump, target)
-    parents = {k.from_table: k.to_table for k in target.database.foreign_keys()}
-    orphans = {k.from_table: done.orphans[k.name] for k in KEYS if k.name in done.orphans}
-    rows = [(n, i, target.read(n).count(), orphans.get(n, 0), parents.get(n)) for i, layer in enumerate(done.order) for group in layer for n in group]
+    with _database(spark) as target:
+        done = jobs.restore_in_order(spark, store, dump, target)
+        parents = {k.from_table: k.to_table for k in target.database.foreign_keys()}
+        orphans = {k.from_table: done.orphans[k.name] for k in KEYS if k.name in done.orphans}
+        rows = [(n, i, target.read(n).count(), orphans.get(n, 0), parents.get(n)) for i, layer in enumerate(done.order) for group in layer for n in group]
     return spark.createDataFrame(rows, "table string, layer long, rows long, orphans long, parent string")
 
 
@@ -560,9 +568,9 @@ def restore_database_in_order(spark, sf_dir):
 def database_catalog(spark, sf_dir):
     """Tables and columns as a live database tells them."""
     store, dump = _dumped(spark, sf_dir)
-    target = _database(spark)
-    target.prepare(store.read_text(store.schema_path(dump)), drop=False)
-    rows = [(t, c.name, c.type, n) for t, info in target.database.describe().items() for n, c in enumerate(info.columns, 1)]
+    with _database(spark) as target:
+        target.prepare(store.read_text(store.schema_path(dump)), drop=False)
+        rows = [(t, c.name, c.type, n) for t, info in target.database.describe().items() for n, c in enumerate(info.columns, 1)]
     return spark.createDataFrame(rows, "table string, column string, type string, position long")
 
 

@@ -191,6 +191,10 @@ class DatabaseTarget:
     def read(self, table: str) -> DataFrame:
         return self.spark.read.format("jdbc").options(**self.options, dbtable=quoted(table)).load()
 
+    def kept(self, table: str) -> DataFrame:
+        """The rows as they are now, from a table in the shared folder that outlasts the database."""
+        return shared.written(self.read(table), "kept")
+
     def _count(self, table: str) -> int:
         return int(self.spark.read.format("jdbc").options(**self.options, query=f"SELECT count(*) AS n FROM {quoted(table)}").load().first()[0])
 

@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 from contextlib import closing, contextmanager
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 from .config import full_name
@@ -172,6 +173,16 @@ class Database:
                 rows += [(s or "", t, n or f"{t}_{pt}_fkey", k, c, ps or "", pt, pc) for s, t, n, k, c, ps, pt, pc in found]
         return regrouped(rows)
 
+    def end(self) -> None:
+        """Ends an engine inside this process and its hold on memory and files."""
+        registry, url = self.spark._jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry, self.options["url"].split(";")[0]
+        registry.register(self.options["driver"])
+        try:
+            registry.get(self.options["driver"]).connect(f"{url};shutdown=true", self.spark._jvm.java.util.Properties())
+        except Py4JJavaError as e:
+            if e.java_exception.getSQLState() not in ("08006", "XJ004"):  # a shutdown that went well, no such database yet
+                raise
+
     def reset(self) -> None:
         """Drops the tables and all that hangs on them."""
         if self.is_postgres:

@@ -15,12 +15,18 @@ _made: list[str] = []
 _open = threading.local()
 
 
+def one_process(spark: SparkSession) -> bool:
+    """Do driver and executors share a process, and so memory and disk?"""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def folder(spark: SparkSession, what: str) -> str:
     """The name of a new folder below spark.checkpoint.dir. Where that is unset, a session on one machine gets a folder of
     its own; on a cluster that is an error, as a folder of one machine is not seen by the others."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        if not one_process(spark):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="veilspark-")
         _made.append(base)
