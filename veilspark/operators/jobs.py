@@ -171,7 +171,8 @@ class DatabaseTarget:
 
     Tables that are missing are made from the dump's schema; foreign keys between these follow once all rows are in. Rows are
     appended. A part whose task is lost after its commit is written again, so the rows are counted after each table: more
-    or fewer than were to come is an error.
+    or fewer than were to come is an error. An engine inside the driver's process, where executors are in others, takes and
+    gives its rows through the driver.
     """
 
     def __init__(self, spark: SparkSession, options: dict[str, str], parts: int = 4, batch: int = 10_000):
@@ -189,19 +190,24 @@ class DatabaseTarget:
         self.database.execute([*(f'CREATE SCHEMA "{s}"' for s in sorted(schemas)), *(sql for t in sorted(self.made) for sql in table_ddl(quoted, t, own(tables[t])))])
 
     def read(self, table: str) -> DataFrame:
+        if self.database.in_driver:
+            return self.database.fetch(table)
         return self.spark.read.format("jdbc").options(**self.options, dbtable=quoted(table)).load()
 
     def kept(self, table: str) -> DataFrame:
         """The rows as they are now, from a table in the shared folder that outlasts the database."""
-        return shared.written(self.read(table), "kept")
+        return self.read(table) if self.database.in_driver else shared.written(self.read(table), "kept")
 
     def _count(self, table: str) -> int:
-        return int(self.spark.read.format("jdbc").options(**self.options, query=f"SELECT count(*) AS n FROM {quoted(table)}").load().first()[0])
+        return self.database.count(table)
 
     def load(self, df: DataFrame, table: str) -> int:
         before, seen = self._count(table), Observation()
-        rows = df.coalesce(self.parts).observe(seen, F.count(F.lit(1)).alias("rows"))
-        rows.write.format("jdbc").options(**self.options, dbtable=quoted(table), batchsize=str(self.batch)).mode("append").save()
+        if self.database.in_driver:
+            self.database.insert(df.observe(seen, F.count(F.lit(1)).alias("rows")), table)
+        else:
+            rows = df.coalesce(self.parts).observe(seen, F.count(F.lit(1)).alias("rows"))
+            rows.write.format("jdbc").options(**self.options, dbtable=quoted(table), batchsize=str(self.batch)).mode("append").save()
         came, wanted = self._count(table) - before, seen.get["rows"]
         if came != wanted:
             raise RuntimeError(f"{table}: {came} rows came of {wanted}")

@@ -2,17 +2,25 @@
 
 The catalog comes from the driver's own metadata, which is the same for every database; foreign keys are put together by
 the table that has them and their name, as names are unique within a table only.
+
+An engine inside the driver's process is not reached by executors elsewhere. Its rows go through the shared folder and the
+driver: in by the engine's own import, out some megabytes at a time.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import closing, contextmanager
 from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from . import shared
 from .config import full_name
 
 #: Driver classes by the beginning of the URL.
@@ -22,6 +30,8 @@ SYSTEM_SCHEMAS = {"pg_catalog", "information_schema", "sys", "sysibm", "syscat",
 PORTABLE = {"text": "varchar(32672)", "bytea": "blob", "timestamp without time zone": "timestamp", "timestamp with time zone": "timestamp", "timestamptz": "timestamp", "json": "clob", "jsonb": "clob", "uuid": "char(36)", "bool": "boolean"}
 #: Types whose length or scale is part of their name.
 SIZED, SCALED = {"varchar", "char", "bpchar", "character varying", "character", "varbit"}, {"numeric", "decimal"}
+#: What the driver takes out of an engine in its own process at once, and the rows after which it looks.
+HELD_BYTES, HELD_ROWS = 32 << 20, 1000
 
 
 @dataclass(frozen=True)
@@ -75,6 +85,20 @@ def quoted(table: str) -> str:
     return ".".join('"' + p.replace('"', '""') + '"' for p in (schema or "public", name))
 
 
+def import_line(df: DataFrame, zone: str):
+    """A row as the engine's import reads it: values in quotes, nothing for NULL; points in time by the clock of this zone."""
+    def text(f: T.StructField):
+        c = F.col("`" + f.name.replace("`", "``") + "`")
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            raise ValueError(f"{f.name}: a column of {f.dataType.simpleString()} has no type there")
+        if isinstance(f.dataType, T.TimestampType):
+            c = F.convert_timezone(None, F.lit(zone), c.cast("timestamp_ntz"))
+        c = F.hex(c) if isinstance(f.dataType, T.BinaryType) else c.cast("string")
+        return F.coalesce(F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')), F.lit(""))
+
+    return F.concat_ws(",", *map(text, df.schema.fields))
+
+
 class Database:
     """options: url, user, password, driver, as Spark's JDBC reader takes them."""
 
@@ -88,6 +112,12 @@ class Database:
     def is_postgres(self) -> bool:
         return self.options["url"].startswith("jdbc:postgresql:")
 
+    @property
+    def in_driver(self) -> bool:
+        """Is it an engine inside the driver's process, with executors in others?"""
+        url = self.options["url"]
+        return url.startswith("jdbc:derby:") and not url.startswith("jdbc:derby://") and not shared.one_process(self.spark)
+
     @contextmanager
     def _connected(self) -> Iterator:
         registry = self.spark._jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry
@@ -173,6 +203,51 @@ class Database:
                 rows += [(s or "", t, n or f"{t}_{pt}_fkey", k, c, ps or "", pt, pc) for s, t, n, k, c, ps, pt, pc in found]
         return regrouped(rows)
 
+    def count(self, table: str) -> int:
+        with self._connected() as connection, closing(connection.createStatement()) as statement:
+            return int(self._rows(statement.executeQuery(f"SELECT count(*) AS n FROM {quoted(table)}"), "n")[0][0])
+
+    def insert(self, df: DataFrame, table: str) -> None:
+        """All rows or none into an engine in the driver's process: executors write text, the engine imports it."""
+        jvm, place = self.spark._jvm, f"{self.spark.sparkContext._temp_dir}/rows-{uuid.uuid4().hex}.csv"
+        conf = self.spark._jsc.hadoopConfiguration()
+        with shared.scratch(self.spark):
+            path = shared.folder(self.spark, "rows")
+            df.select(import_line(df, jvm.java.util.TimeZone.getDefault().getID()).alias("value")).write.text(path)
+            try:
+                with closing(jvm.java.io.FileOutputStream(place)) as out:
+                    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf)
+                    for status in fs.listStatus(jvm.org.apache.hadoop.fs.Path(path)):
+                        if not status.getPath().getName().startswith(("_", ".")):
+                            with closing(fs.open(status.getPath())) as part:
+                                jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 16, False)
+                schema, _, name = table.rpartition(".")
+                with self._connected() as connection, closing(connection.prepareStatement("CALL SYSCS_UTIL.SYSCS_IMPORT_DATA(?, ?, ?, NULL, ?, ',', '\"', 'UTF-8', 0)")) as call:
+                    for n, value in enumerate((schema or "public", name, ",".join(df.columns), place), 1):
+                        call.setString(n, value)
+                    call.execute()
+            finally:
+                if os.path.exists(place):
+                    os.remove(place)
+
+    def fetch(self, table: str) -> DataFrame:
+        """All rows of an engine in the driver's process, from a table in the shared folder."""
+        jvm, path = self.spark._jvm, shared.folder(self.spark, "fetched")
+        schema = self.spark.read.format("jdbc").options(**self.options, dbtable=quoted(table)).load().schema
+        java_schema = self.spark._jsparkSession.parseDataType(schema.json())
+        with self._connected() as connection, closing(connection.createStatement()) as statement:
+            dialect = jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(self.options["url"])
+            rows = jvm.org.apache.spark.sql.execution.datasources.jdbc.JdbcUtils.resultSetToRows(statement.executeQuery(f"SELECT * FROM {quoted(table)}"), java_schema, dialect).grouped(HELD_ROWS)
+            more = True
+            while more:
+                held, size = jvm.java.util.ArrayList(), 0
+                while size < HELD_BYTES and (more := rows.hasNext()):
+                    part = jvm.scala.jdk.javaapi.CollectionConverters.asJava(rows.next())
+                    size += jvm.org.apache.spark.util.SizeEstimator.estimate(part)
+                    held.addAll(part)
+                DataFrame(self.spark._jsparkSession.createDataFrame(held, java_schema), self.spark).coalesce(1).write.mode("append").parquet(path)
+        return self.spark.read.schema(schema).parquet(path)
+
     def end(self) -> None:
         """Ends an engine inside this process and its hold on memory and files."""
         registry, url = self.spark._jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry, self.options["url"].split(";")[0]
