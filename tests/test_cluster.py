@@ -21,7 +21,7 @@ from veilspark.sources import database, store as stores
 sf_dir, base = sys.argv[1:]
 spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.executor.memory", "700m").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").config("spark.sql.session.timeZone", "Asia/Tokyo").config("spark.sql.shuffle.partitions", "4").config("spark.checkpoint.dir", f"file://{base}/shared").getOrCreate()
 spark.sparkContext.setLogLevel("OFF")
-found = {n: sorted(map(str, __spark_entry__.queries()[n](spark, sf_dir).collect())) for n in ("database_catalog", "restore_into_database")}
+found = {n: sorted(map(str, __spark_entry__.queries()[n](spark, sf_dir).collect())) for n in ("database_catalog", "restore_into_database", "restore_database_in_order")}
 
 database.HELD_BYTES, database.HELD_ROWS = 3000, 7  # many pieces
 texts = ["", None, '"', '""', "a,b", "a\\nb\\r\\nc", "\\r", "\\t", " x ", "\\\\N", "'", '","', "\\u00e9\\u4e2d\\U0001f600", "NULL"]
@@ -55,7 +55,7 @@ def cluster(tmp_path_factory, sf_dir):
     return json.loads(run.stdout.splitlines()[-1])
 
 
-@pytest.mark.parametrize("name", ["database_catalog", "restore_into_database"])
+@pytest.mark.parametrize("name", ["database_catalog", "restore_into_database", "restore_database_in_order"])
 def test_database_queries(spark, sf_dir, cluster, name):
     assert cluster["queries"][name] == sorted(map(str, __spark_entry__.queries()[name](spark, sf_dir).collect())) != []
 

@@ -560,7 +560,7 @@ def restore_database_in_order(spark, sf_dir):
         done = jobs.restore_in_order(spark, store, dump, target)
         parents = {k.from_table: k.to_table for k in target.database.foreign_keys()}
         orphans = {k.from_table: done.orphans[k.name] for k in KEYS if k.name in done.orphans}
-        rows = [(n, i, target.read(n).count(), orphans.get(n, 0), parents.get(n)) for i, layer in enumerate(done.order) for group in layer for n in group]
+        rows = [(n, i, target.database.count(n), orphans.get(n, 0), parents.get(n)) for i, layer in enumerate(done.order) for group in layer for n in group]
     return spark.createDataFrame(rows, "table string, layer long, rows long, orphans long, parent string")
 
 
