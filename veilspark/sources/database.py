@@ -207,10 +207,16 @@ class Database:
         with self._connected() as connection, closing(connection.createStatement()) as statement:
             return int(self._rows(statement.executeQuery(f"SELECT count(*) AS n FROM {quoted(table)}"), "n")[0][0])
 
+    def _schema(self, table: str) -> T.StructType:
+        return self.spark.read.format("jdbc").options(**self.options, dbtable=quoted(table)).load().schema
+
     def insert(self, df: DataFrame, table: str) -> None:
         """All rows or none into an engine in the driver's process: executors write text, the engine imports it."""
         jvm, place = self.spark._jvm, f"{self.spark.sparkContext._temp_dir}/rows-{uuid.uuid4().hex}.csv"
-        conf = self.spark._jsc.hadoopConfiguration()
+        conf, names = self.spark._jsc.hadoopConfiguration(), self._schema(table).names
+        if sorted(df.columns) == sorted(names):
+            df = df.select(*("`" + n.replace("`", "``") + "`" for n in names))
+        columns = None if df.columns == names else ",".join(df.columns)  # all in order, or those named
         with shared.scratch(self.spark):
             path = shared.folder(self.spark, "rows")
             df.select(import_line(df, jvm.java.util.TimeZone.getDefault().getID()).alias("value")).write.text(path)
@@ -223,7 +229,7 @@ class Database:
                                 jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 16, False)
                 schema, _, name = table.rpartition(".")
                 with self._connected() as connection, closing(connection.prepareStatement("CALL SYSCS_UTIL.SYSCS_IMPORT_DATA(?, ?, ?, NULL, ?, ',', '\"', 'UTF-8', 0)")) as call:
-                    for n, value in enumerate((schema or "public", name, ",".join(df.columns), place), 1):
+                    for n, value in enumerate((schema or "public", name, columns, place), 1):
                         call.setString(n, value)
                     call.execute()
             finally:
@@ -233,7 +239,7 @@ class Database:
     def fetch(self, table: str) -> DataFrame:
         """All rows of an engine in the driver's process, from a table in the shared folder."""
         jvm, path = self.spark._jvm, shared.folder(self.spark, "fetched")
-        schema = self.spark.read.format("jdbc").options(**self.options, dbtable=quoted(table)).load().schema
+        schema = self._schema(table)
         java_schema = self.spark._jsparkSession.parseDataType(schema.json())
         with self._connected() as connection, closing(connection.createStatement()) as statement:
             dialect = jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(self.options["url"])
